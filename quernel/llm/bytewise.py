@@ -123,3 +123,22 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, n: int, size: int) -> tup
         live = whole & (k < width)
         out[live] = mix(out[live] * np.uint64(BASE) + words[at[live] + k] + np.uint64(k + 1))
     return out[whole], doc[whole]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches in which equal keys are adjacent; holds one key's rows and a batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        if not len(values):
+            continue
+        cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(values)], strict=True):
+            if held and values[begin] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = values[begin]
+    if held:
+        yield pa.Table.from_batches(held)
