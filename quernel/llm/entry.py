@@ -94,12 +94,21 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op7_topk": op7_topk,
         "op2_quality_rules": op2_quality_rules,
         "op9_line_dedup": op9_line_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
