@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def piece_model() -> str:
+    """Path of the piece vocabulary; QUERNEL_PIECES names another."""
+    import public_tokenizers
+
+    return os.environ.get("QUERNEL_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm import pieces
+
+    vocabulary = pieces.Vocabulary.from_model(piece_model())
+    ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    both = pieces.decode(ids, vocabulary, text="decoded")
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.octet_length("decoded").cast("long").alias("n_bytes"), same.alias("round_trip"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm import topk
 
@@ -69,6 +87,12 @@ SELECT query_id, rank, vec_id, score FROM (
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm import mixing
+
+    return mixing.probabilities(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm import line_dedup
 
@@ -107,6 +131,8 @@ def queries() -> dict[str, Query]:
         "op1_ngram_join": op1_ngram_join,
         "op7_topk": op7_topk,
         "op2_quality_rules": op2_quality_rules,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op8_mixing": op8_mixing,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
     }
