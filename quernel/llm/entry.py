@@ -50,6 +50,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page (markup, address) and every document (its source stands for the host)."""
+    from quernel.llm import langid
+
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = langid.fit(docs)
+    none = F.lit(None).cast("long")
+    page_rows = langid.evidence_rows(pages.select(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html"), "html", langid.host_of(F.col("url")), langid.declared_language(F.col("html")))
+    doc_rows = langid.evidence_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html")), "html", F.col("url"), F.lit(""))
+    return langid.identify(page_rows.unionByName(doc_rows), model, ["doc_id", "page_id"])
+
+
 def piece_model() -> str:
     """Path of the piece vocabulary; QUERNEL_PIECES names another."""
     import public_tokenizers
@@ -131,6 +143,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_join": op1_ngram_join,
         "op7_topk": op7_topk,
         "op2_quality_rules": op2_quality_rules,
+        "op4_language_id": op4_language_id,
         "op6_sentencepiece": op6_sentencepiece,
         "op8_mixing": op8_mixing,
         "op9_line_dedup": op9_line_dedup,
