@@ -50,6 +50,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm import suffix_dedup
+
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page (markup, address) and every document (its source stands for the host)."""
     from quernel.llm import langid
@@ -143,6 +149,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_join": op1_ngram_join,
         "op7_topk": op7_topk,
         "op2_quality_rules": op2_quality_rules,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
         "op6_sentencepiece": op6_sentencepiece,
         "op8_mixing": op8_mixing,
