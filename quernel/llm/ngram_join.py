@@ -6,7 +6,8 @@ documents link when 100 * |intersection| >= 80 * |union|.
 
 Plan
   1. One pass over the texts: set size, a 64-bit signature of the set and its count vector (shingles
-     hashed into 64 groups, counted), plus the shingles that are frequent within a task's share.
+     hashed into 64 to 4096 groups, about 4 to a group, counted; halves add up to the vector with half the
+     groups), plus the shingles that are frequent within a task's share.
      Documents with one signature are one class, and only classes go on.
   2. Any linked pair shares one of the first n - ceil(0.8 n) + 1 shingles of both sets in any common
      order. The order puts frequent shingles last. A cell is the classes that share such a shingle.
@@ -40,13 +41,14 @@ from quernel.llm.graph import components
 from quernel.session import Scratch
 
 SHINGLE = 5
-GROUPS = 64
+#: Count vectors have a power of two of groups, about n / 4, within these limits.
+GROUPS = (64, 4096)
 #: Tokens gathered before frequent ones are counted, the least count within them, and over all.
-FLUSH, OFTEN_LOCAL, OFTEN = 1 << 21, 6, 48
+FLUSH, OFTEN_LOCAL, OFTEN = 1 << 21, 3, 48
 #: The most shingles put last in the order. More would only go back to their place; results stay.
 OFTEN_MAX = 1_000_000
 #: Members of a cell that is checked pair by pair against the bound; larger ones become stars.
-SMALL_CELL = 64
+SMALL_CELL = 512
 LEAF = 32
 
 
@@ -70,10 +72,29 @@ def signatures(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return bw.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(bw.BASE)).view(np.int64)
 
 
-def count_vectors(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+def resolution(n: np.ndarray) -> np.ndarray:
+    """Groups for a set of n shingles; grows with n."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1) / 4.0)), *GROUPS).astype(np.int64)
+
+
+def count_vectors(tokens: np.ndarray, at: np.ndarray, groups: int) -> np.ndarray:
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
-    return np.bincount(owner * GROUPS + (tokens % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.uint32)
+    return np.bincount(owner * groups + (tokens % np.uint64(groups)).astype(np.int64), minlength=n * groups).reshape(n, groups).astype(np.int32)
+
+
+def vector_bytes(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Each set's count vector at its own resolution, as bytes, or as 32-bit integers if a count is over 255."""
+    out = []
+    for k, g in enumerate(resolution(np.diff(at)).tolist()):
+        counts = np.bincount((tokens[at[k] : at[k + 1]] % np.uint64(g)).astype(np.int64), minlength=g)
+        out.append(counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes())
+    return out
+
+
+def folded(vector: bytes, own: int, groups: int) -> np.ndarray:
+    """A vector of `own` groups, summed up to fewer."""
+    return np.frombuffer(vector, np.uint8 if len(vector) == own else np.int32).reshape(-1, groups).sum(axis=0, dtype=np.int64)
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,11 +119,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in bw.chunks(batches, "text"):
         tokens, at = shingle_sets(data, offsets)
         n, cls = np.diff(at), signatures(tokens, at)
-        vectors = count_vectors(tokens, at)
         none = [None] * len(n)
         yield pa.RecordBatch.from_pydict({
             "doc_id": rows.column(rows.schema.get_field_index("doc_id")), "n": pa.array(n), "cls": pa.array(cls, mask=n == 0),
-            "counts": pa.array([v.tobytes() for v in vectors], pa.binary()), "token": pa.array(none, pa.int64()), "often": pa.array(none, pa.int64()),
+            "counts": pa.array(vector_bytes(tokens, at), pa.binary()), "token": pa.array(none, pa.int64()), "often": pa.array(none, pa.int64()),
         })
         for k, c in enumerate(cls.tolist()):  # a copy in the same share counts once
             if c not in seen:
@@ -131,23 +151,26 @@ def _first_tokens(often):  # noqa: ANN001, ANN202
             early = np.concatenate([[0], np.cumsum(~late)])
             place = np.where(late, np.arange(len(tokens)) - at[owner] + (early[at[owner + 1]] - early[:-1]), early[:-1] - early[at[owner]])
             keep = (place < (n - (4 * n + 4) // 5 + 1)[owner]) & once[owner]
-            yield pa.RecordBatch.from_pydict({"token": tokens[keep].view(np.int64), "cls": cls[owner[keep]], "often": late[keep]})
+            yield pa.RecordBatch.from_pydict({"token": tokens[keep].view(np.int64), "cls": cls[owner[keep]], "n": pa.array(n[owner[keep]], pa.int32()), "often": late[keep]})
 
     return run
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that share a token, one cell for each set of members; star edges for large cells."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    """Classes that share a token, one cell for each set of members; star edges for large cells.
+
+    A token's classes in order of size are cut where the next is too large to link with the one before it.
+    """
+    got = [tuple(b.column(k).to_numpy() for k in range(3)) for b in batches]
     if not got:
         return
-    token, cls = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((cls, token))
-    token, cls = token[order], cls[order]
+    token, cls, n = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((cls, n, token))
+    token, cls, n = token[order], cls[order], n[order].astype(np.int64)
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls = token[fresh], cls[fresh]
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    token, cls, n = token[fresh], cls[fresh], n[fresh]
+    begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (4 * n[1:] > 5 * n[:-1])])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([begin, [len(token)]]))
     shared = size > 1
     begin, size = begin[shared], size[shared]
@@ -179,11 +202,19 @@ def _cell_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     left: list[int] = []
     right: list[int] = []
     for group in bw.sorted_groups(batches, "cell"):
-        rep, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).reshape(len(rep), GROUPS).astype(np.int64)
+        n = group.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")  # the rest of the cell is never coarser than its smallest member
+        rep, n = group.column("rep").to_numpy()[order], n[order]
+        vectors = group.column("counts").take(pa.array(order)).to_pylist()
+        groups = resolution(n)
         forest = Forest(len(rep))
         for k in range(len(rep) - 1):
-            rest = np.flatnonzero(forest.label[k + 1 :] != forest.label[k]) + k + 1
+            if not k or groups[k] != groups[k - 1]:
+                counts = np.zeros((len(rep), groups[k]), np.int64)
+                for j in range(k, int(np.searchsorted(4 * n, 5 * n[groups == groups[k]].max(), "right"))):
+                    counts[j] = folded(vectors[j], int(groups[j]), int(groups[k]))
+            rest = np.arange(k + 1, np.searchsorted(4 * n, 5 * n[k], "right"))
+            rest = rest[forest.label[rest] != forest.label[k]]
             rest = rest[linked(np.minimum(counts[k], counts[rest]).sum(axis=1), n[k], n[rest])]
             for j in rest.tolist():
                 if forest.join(k, j):
@@ -236,7 +267,7 @@ class CountTree:
 def join_block(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links between members of `left` and of `right` (indices of sets)."""
     n = np.diff(at)
-    counts = count_vectors(tokens, at).astype(np.int64)
+    counts = count_vectors(tokens, at, int(min(resolution(n).max(initial=GROUPS[0]), 1024)))
     _, local = np.unique(tokens, return_inverse=True)
     mark = np.zeros(int(local.max(initial=0)) + 1, bool)
     tree = CountTree(counts[right], n[right])
@@ -317,9 +348,9 @@ def join(docs: DataFrame) -> DataFrame:
     rows = profile.filter("token is null").select("doc_id", "n", "cls", "counts")
     classes = scratch.stash(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts")), "classes")
 
-    prefix = docs.filter("doc_id is not null").mapInArrow(_first_tokens(last), "token long, cls long, often boolean")
+    prefix = docs.filter("doc_id is not null").mapInArrow(_first_tokens(last), "token long, cls long, n int, often boolean")
     prefix = scratch.stash(prefix, "prefix")
-    cells = scratch.stash(prefix.filter("not often").select("token", "cls").repartition("token").mapInArrow(_cells, "cell long, cls long, hub long"), "cells")
+    cells = scratch.stash(prefix.filter("not often").select("token", "cls", "n").repartition("token").mapInArrow(_cells, "cell long, cls long, hub long"), "cells")
     busy = prefix.filter("often").select("token", "cls").distinct()
     hubs = busy.groupBy("token").agg(F.min("cls").alias("hub"))
     stars = busy.join(hubs, "token").select("cls", "hub").unionByName(cells.filter("hub is not null").select("cls", "hub")).filter("cls <> hub").distinct()

@@ -81,7 +81,7 @@ def test_bound_never_hides_a_link():
         tokens.append(pick)
         at.append(at[-1] + len(pick))
     at = np.array(at)
-    counts, n = nj.count_vectors(np.concatenate(tokens), at).astype(np.int64), np.diff(at)
+    counts, n = nj.count_vectors(np.concatenate(tokens), at, 64), np.diff(at)
     tree = nj.CountTree(counts, n)
     for a in range(200):
         near = set(tree.search(counts[a], int(n[a])).tolist())
