@@ -18,6 +18,7 @@ from, every document gets the share of positives. Repeated rows repeat their sco
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED = 8, 4
 WORD_ROWS, GRAM_ROWS = 1 << 18, 1 << 16
 WORD_EMBED, GRAM_EMBED = 1 << 13, 1 << 12
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1200, 2400, 32768
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1200, 2400, 12288
 EPOCHS, STEPS, RESCORE, BATCH, RATE = 4, 400, 2, 64, 0.02
 FADE = 0.01
 GRAMS = (3, 4, 5)
@@ -208,27 +209,26 @@ class Adam:
             x -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 
-def odds(index: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rows: int) -> np.ndarray:
-    """Shrunk log-odds of each row of a table, by documents that hold it."""
-    key = np.unique(doc.astype(np.int64) * rows + index)
-    doc, index = key // rows, key % rows
-    yes = np.bincount(index[toxic[doc] == 1], minlength=rows)
-    no = np.bincount(index[toxic[doc] == 0], minlength=rows)
-    present = np.unique(doc)
-    n_yes, n_no = (toxic[present] == 1).sum(), (toxic[present] == 0).sum()
-    value = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1))
+def odds(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Shrunk log-odds of each table row, from (clean, toxic) documents that hold it, and in all."""
+    no, yes = counts
+    value = np.log((yes + 0.5) / (documents[1] + 1)) - np.log((no + 0.5) / (documents[0] + 1))
     return (value * (yes + no) / (yes + no + 4.0) / 4.0).astype(np.float32)
 
 
 def _tables(words: Words, toxic: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Evidence tables from the documents marked in docs."""
-    live = docs[words.doc]
-    doc, at = words.doc[live], words.at[live]
-    pair = np.unique(doc.astype(np.int64) * max(1, len(words.distinct)) + at)
-    doc, at = pair // max(1, len(words.distinct)), pair % max(1, len(words.distinct))
-    size = np.diff(np.append(words.gram_at, len(words.gram)))[at]
-    gram = words.gram[np.repeat(words.gram_at[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-    return odds(words.word[at], doc, toxic, WORD_ROWS), odds(gram, np.repeat(doc, size), toxic, GRAM_ROWS)
+    """Evidence tables from the documents marked in docs, one document after another."""
+    by_word, by_gram = np.zeros((2, WORD_ROWS)), np.zeros((2, GRAM_ROWS))
+    end = np.append(words.gram_at, len(words.gram))[1:]
+    cuts = np.searchsorted(words.doc, np.arange(len(docs) + 1))
+    for k in np.flatnonzero(docs).tolist():
+        at = np.unique(words.at[cuts[k] : cuts[k + 1]])
+        size = end[at] - words.gram_at[at]
+        gram = words.gram[np.repeat(words.gram_at[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        by_word[toxic[k], np.unique(words.word[at])] += 1
+        by_gram[toxic[k], np.unique(gram)] += 1
+    documents = np.bincount(toxic[docs], minlength=2)
+    return odds(by_word, documents), odds(by_gram, documents)
 
 
 class Model:
@@ -337,19 +337,28 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[list[bytes], np.ndarray]:
-    """A bounded, hash-chosen sample of labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
+    """(doc_id, text, toxic): a bounded, hash-chosen sample of labelled documents."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda label, most: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = part(1, max_toxic).unionByName(part(0, max_clean)).select(F.col("doc_id").alias("_tx_id"), F.col("toxic").alias("_tx_toxic"))
     rows = docs.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).select("doc_id", "text")
     rows = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_tx_id"])  # at most max_toxic + max_clean ids
-    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_tx_toxic").alias("toxic")).toArrow().sort_by("doc_id")
-    return [t.encode() for t in got.column("text").to_pylist()], np.array(got.column("toxic").to_pylist(), np.int64)
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_tx_toxic").cast("long").alias("toxic"))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [b for b in batches if len(b)]
+    texts = [t.encode() for b in got for t in b.column(1).to_pylist()]
+    toxic = np.array([x for b in got for x in b.column(2).to_pylist()], np.int64)
+    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(Model(texts, toxic))], pa.binary())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    return Model(*training_rows(docs, labels, max_toxic, max_clean))
+    """Trained in one task on the bounded sample; the model is a few megabytes."""
+    rows = training_rows(docs, labels, max_toxic, max_clean)
+    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_train, "model binary").first()
+    return pickle.loads(got[0]) if got else Model([], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
