@@ -75,6 +75,19 @@ def piece_model() -> str:
     return os.environ.get("QUERNEL_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
 
 
+def token_model() -> str:
+    """Path of the tokenizer definition; QUERNEL_TOKENIZER names another."""
+    import public_tokenizers
+
+    return os.environ.get("QUERNEL_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm import token_file
+
+    return token_file.digest(table(spark, sf_dir, "documents"), token_model())
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm import pieces
 
@@ -151,6 +164,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
+        "op5_token_file": op5_token_file,
         "op6_sentencepiece": op6_sentencepiece,
         "op8_mixing": op8_mixing,
         "op9_line_dedup": op9_line_dedup,
