@@ -39,9 +39,9 @@ from quernel.llm.pieces import Remembered, ragged
 from quernel.session import Scratch
 
 END = 1
-BLOCK = 2048
+BLOCK = 1024
 SEGMENT = 1 << 22
-SLOTS = 512
+SLOTS = 128
 STEP, REFRESH = 24, 64
 CLASSES, LOW_BITS = 64, 10
 #: The least width of a class, and the most that a prediction may take, of 65536.
