@@ -39,8 +39,8 @@ WITH d AS (
 ), reach AS (
   WITH RECURSIVE r(u, v) AS (SELECT u, v FROM link UNION SELECT r.u, link.v FROM r JOIN link ON r.v = link.u) SELECT u, min(v) AS low FROM r GROUP BY u
 )
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(reach.low, d.doc_id))::BIGINT AS component_id
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.u = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(reach.low, d.doc_id))::BIGINT AS component_id, coalesce(near.n, 0)::BIGINT AS n_links
+FROM d LEFT JOIN (SELECT u, count(*) AS n FROM link GROUP BY u) near ON near.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.u = d.doc_id
 """
 
 

@@ -18,8 +18,8 @@ Plan
   4. A cluster is dealt out in blocks; every pair of blocks is a task with both blocks' sets. A task packs
      one block's count vectors into an R-tree (sorted tiles; a box holds the largest coordinates and
      the range of sizes below it), descends it with the other block's points by the bound, and verifies
-     surviving pairs on the sets. Pairs already connected inside the task are skipped, and a task
-     emits a forest, so that a group of copies never becomes all its pairs.
+     surviving pairs on the sets. A task emits a forest of its links and the number of links of each
+     set, so that a group of copies never becomes all its pairs.
   5. Components over the verified links; the label is the smallest doc_id.
 
 Shingles are compared by 64-bit hashes. Cases: null or empty texts have an empty set and are their
@@ -50,6 +50,8 @@ OFTEN_MAX = 1_000_000
 #: Members of a cell that is checked pair by pair against the bound; larger ones become stars.
 SMALL_CELL = 512
 LEAF = 32
+#: Tokens of candidates that are compared with a set at once.
+VERIFY = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,31 +266,40 @@ class CountTree:
         return found[(5 * self.n[found] >= 4 * size) & (4 * self.n[found] <= 5 * size)]
 
 
-def join_block(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of `left` and of `right` (indices of sets)."""
+def join_block(tokens: np.ndarray, at: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between members of `left` and of `right` (indices of sets; the same ones, or none in common).
+
+    Returns a spanning forest of them and, for each set, the copies of the sets that it links with.
+    """
     n = np.diff(at)
     counts = count_vectors(tokens, at, int(min(resolution(n).max(initial=GROUPS[0]), 1024)))
     _, local = np.unique(tokens, return_inverse=True)
     mark = np.zeros(int(local.max(initial=0)) + 1, bool)
     tree = CountTree(counts[right], n[right])
     forest = Forest(len(n))
+    one_block = len(left) == len(right) and (left == right).all()
+    links = np.zeros(len(n), np.int64)
     out = []
     for a in left.tolist():
         near = right[tree.search(counts[a], int(n[a]))]
-        near = near[forest.label[near] != forest.label[a]]
-        if not len(near):
-            continue
-        own = local[at[a] : at[a + 1]]
-        mark[own] = True
-        size = n[near]
-        ends = np.cumsum(size)
-        index = np.repeat(at[near] - ends + size, size) + np.arange(ends[-1])
-        common = np.add.reduceat(mark[local[index]].astype(np.int64), ends - size)
-        mark[own] = False
-        for b in near[linked(common, n[a], size)].tolist():
-            if forest.join(a, b):
-                out.append((a, b))
-    return out
+        near = near[near != a]
+        mark[local[at[a] : at[a + 1]]] = True
+        for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(n[near]) // VERIFY)) + 1):
+            if not len(part):
+                continue
+            size = n[part]
+            ends = np.cumsum(size)
+            index = np.repeat(at[part] - ends + size, size) + np.arange(ends[-1])
+            common = np.add.reduceat(mark[local[index]].astype(np.int64), ends - size)
+            hits = part[linked(common, n[a], size)]
+            links[a] += copies[hits].sum()
+            if not one_block:
+                links[hits] += copies[a]
+            for b in hits[forest.label[hits] != forest.label[a]].tolist():
+                if forest.join(a, b):
+                    out.append((a, b))
+        mark[local[at[a] : at[a + 1]]] = False
+    return out, links
 
 
 def _task_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +307,12 @@ def _task_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, at = shingle_sets(data, offsets)
         rep = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
         tasks = rows.column(rows.schema.get_field_index("tasks")).to_pylist()
+        copies = rows.column(rows.schema.get_field_index("copies")).to_pylist()
         for k, todo in enumerate(tasks):
             body = tokens[at[k] : at[k + 1]].tobytes()
             for j in range(0, len(todo), 256):
                 part = todo[j : j + 256]
-                yield pa.RecordBatch.from_pydict({"task": pa.array([t["task"] for t in part], pa.int64()), "side": pa.array([t["side"] for t in part], pa.int32()), "rep": pa.array([rep[k]] * len(part), pa.int64()), "tokens": pa.array([body] * len(part), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"task": pa.array([t["task"] for t in part], pa.int64()), "side": pa.array([t["side"] for t in part], pa.int32()), "rep": pa.array([rep[k]] * len(part), pa.int64()), "copies": pa.array([copies[k]] * len(part), pa.int64()), "tokens": pa.array([body] * len(part), pa.binary())})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,15 +322,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies = group.column("tokens").take(pa.array(first)).to_pylist()
         tokens = np.frombuffer(b"".join(bodies), np.uint64)
         at = np.concatenate([[0], np.cumsum([len(b) // 8 for b in bodies])])
+        copies = group.column("copies").to_numpy()[first]
         # side 0: the blocks are one; 1 and 2: the two blocks
-        edges = join_block(tokens, at, np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-        if edges:
-            a, b = (np.array(x) for x in zip(*edges, strict=True))
-            yield pa.RecordBatch.from_pydict({"u": rep[a], "v": rep[b]})
+        edges, links = join_block(tokens, at, copies, np.flatnonzero(side != 2), np.flatnonzero(side != 1))
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_pydict({"u": np.concatenate([rep[a], rep[some]]), "v": pa.array(np.concatenate([rep[b], rep[some]]), mask=np.arange(len(a) + len(some)) >= len(a)), "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some]]))})
 
 
 def _tasks(members: DataFrame) -> DataFrame:
-    """(doc_id, array of (task, side)): the cluster's blocks are paired, and a member goes to its block's pairs."""
+    """(doc_id, copies, array of (task, side)): the cluster's blocks are paired, and a member goes to its block's pairs."""
     sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("volume")).filter("m > 1")
     spread = F.when(F.col("m") <= 192, 1).otherwise(F.least(F.ceil(F.col("m") / 96), F.lit(24)))
     blocks = F.greatest(F.ceil(F.col("m") / 2048), F.ceil(F.col("volume") / (1 << 21)), spread).cast("int")
@@ -331,11 +344,11 @@ def _tasks(members: DataFrame) -> DataFrame:
             F.when(k == F.col("own"), 0).when(F.col("own") < k, 1).otherwise(2).alias("side"),
         ),
     )
-    return dealt.select(F.col("rep").alias("doc_id"), task.alias("tasks"))
+    return dealt.select(F.col("rep").alias("doc_id"), "copies", task.alias("tasks"))
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs."""
+    """(doc_id, n_shingles, component_id, n_links), one row for each row of docs; n_links counts the other rows it links with."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -346,7 +359,7 @@ def join(docs: DataFrame) -> DataFrame:
     last = spark.sparkContext.broadcast(np.sort(heavy.column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
     rows = profile.filter("token is null").select("doc_id", "n", "cls", "counts")
-    classes = scratch.stash(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts")), "classes")
+    classes = scratch.stash(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count("*").alias("copies")), "classes")
 
     prefix = docs.filter("doc_id is not null").mapInArrow(_first_tokens(last), "token long, cls long, n int, often boolean")
     prefix = scratch.stash(prefix, "prefix")
@@ -356,20 +369,23 @@ def join(docs: DataFrame) -> DataFrame:
     stars = busy.join(hubs, "token").select("cls", "hub").unionByName(cells.filter("hub is not null").select("cls", "hub")).filter("cls <> hub").distinct()
     names = classes.select("cls", "rep")
     star_edges = stars.join(names, "cls").select(F.col("rep").alias("u"), F.col("hub").alias("cls")).join(names, "cls").select("u", F.col("rep").alias("v"))
-    small = cells.filter("hub is null").select("cell", "cls").distinct().join(classes, "cls").select("cell", "rep", "n", "counts")
+    small = cells.filter("hub is null").select("cell", "cls").distinct().join(classes.drop("copies"), "cls").select("cell", "rep", "n", "counts")
     cell_edges = small.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_forest, "u long, v long")
     near = scratch.stash(star_edges.unionByName(cell_edges), "near")
     scratch.drop("prefix", "cells")
 
     clusters = components(near, scratch, "cluster")
-    members = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node").select(F.col("node").alias("rep"), "label", "n")
+    members = clusters.join(classes.select(F.col("rep").alias("node"), "n", "copies"), "node").select(F.col("node").alias("rep"), "label", "n", "copies")
     tasks = scratch.stash(_tasks(members), "tasks")
-    sets = docs.join(tasks, "doc_id").mapInArrow(_task_sets, "task long, side int, rep long, tokens binary")
-    links = scratch.stash(sets.repartition("task").sortWithinPartitions("task").mapInArrow(_verify, "u long, v long"), "links")
-
-    found = components(links, scratch, "component").select(F.col("node").alias("rep"), F.col("label").alias("component"))
-    named = names.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    sets = docs.join(tasks, "doc_id").mapInArrow(_task_sets, "task long, side int, rep long, copies long, tokens binary")
+    links = scratch.stash(sets.repartition("task").sortWithinPartitions("task").mapInArrow(_verify, "u long, v long, links long"), "links")
+
+    found = components(links.filter("v is not null").select("u", "v"), scratch, "component").select(F.col("node").alias("rep"), F.col("label").alias("component"))
+    others = links.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    named = classes.select("cls", "rep", "copies").join(found, "rep", "left").join(others, "rep", "left")
+    named = named.select("cls", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"))
+    own = F.when(F.col("doc_id").isNotNull(), 1).otherwise(0)
+    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("links") - own, F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -25,12 +25,12 @@ def brute(rows):
             if label[a] != low or label[b] != low:
                 label[a] = label[b] = low
                 changed = True
-    return sorted((i, len(sets[k]), label[k]) for k, (i, _) in enumerate(rows))
+    return sorted((i, len(sets[k]), label[k], sum(k in link for link in links)) for k, (i, _) in enumerate(rows))
 
 
 def result(spark, rows, **extra):
     docs = spark.createDataFrame([(i, t, *extra.values()) for i, t in rows], "doc_id long, text string" + "".join(f", {k} string" for k in extra))
-    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join(docs).collect())
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in nj.join(docs).collect())
 
 
 def sample(seed=3):
@@ -70,7 +70,7 @@ def test_large_group_of_near_copies(spark, monkeypatch):
 def test_empty_table_repeated_rows_and_extra_columns(spark):
     assert result(spark, []) == []
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (9, "a b c d e f")]
-    assert result(spark, rows, label="x", rep="y", cls="z", task="t") == [(5, 2, 5), (5, 2, 5), (9, 2, 5)]
+    assert result(spark, rows, label="x", rep="y", cls="z", task="t") == [(5, 2, 5, 2), (5, 2, 5, 2), (9, 2, 5, 2)]
 
 
 def test_bound_never_hides_a_link():

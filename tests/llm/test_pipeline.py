@@ -31,7 +31,7 @@ def test_stages_match_brute_force(spark):
     near = stages["ngram_join"](spark, lines, SF)
     assert near.columns == docs.columns
     left = {r.doc_id: r.text for r in near.collect()}
-    assert set(left) == {i for i, _, c in brute_groups(list(after.items())) if i == c}
+    assert set(left) == {i for i, _, c, _ in brute_groups(list(after.items())) if i == c}
 
     mixed = stages["mixing"](spark, near, SF)
     assert mixed.columns == docs.columns
