@@ -379,6 +379,7 @@ def join(docs: DataFrame) -> DataFrame:
     tasks = scratch.stash(_tasks(members), "tasks")
     sets = docs.join(tasks, "doc_id").mapInArrow(_task_sets, "task long, side int, rep long, copies long, tokens binary")
     links = scratch.stash(sets.repartition("task").sortWithinPartitions("task").mapInArrow(_verify, "u long, v long, links long"), "links")
+    scratch.drop("near", "tasks")
 
     found = components(links.filter("v is not null").select("u", "v"), scratch, "component").select(F.col("node").alias("rep"), F.col("label").alias("component"))
     others = links.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))

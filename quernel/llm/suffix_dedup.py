@@ -383,6 +383,7 @@ def cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = facts.groupBy("sha256").agg(F.min("doc_id").alias("first"))
     marks = facts.join(firsts, "sha256").select("doc_id", "row_hash", "n_bytes", "sha256", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_bytes") >= SPAN), F.lit(False)).alias("copy"))
     marks = scratch.stash(marks, "marks")
+    scratch.drop("facts")
 
     homes = _homes(docs)
     n = len(homes)
