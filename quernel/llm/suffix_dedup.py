@@ -136,28 +136,47 @@ def _anchors(homes):  # noqa: ANN001, ANN202
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document, those of its anchors here that another document has too."""
+def _shared(homes):  # noqa: ANN001, ANN202
+    """(document, anchor) pairs of anchors that two documents have, dealt out by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [unpacked(blob) for batch in batches for blob in batch.column(1).to_pylist()]
+        if not got:
+            return
+        anchors = np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in got])
+        ids = np.concatenate([d for _, d in got])
+        order = np.argsort(anchors, kind="stable")
+        anchors, ids = anchors[order], ids[order]
+        begin = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.zeros(0, np.int64)
+        if not len(begin):
+            return
+        size = np.diff(np.append(begin, len(anchors)))
+        many = np.repeat(np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin), size)
+        anchors, ids = anchors[many], ids[many]
+        home = (bw.mix(ids.view(np.uint64)) % np.uint64(len(homes))).astype(np.int64)
+        order = np.lexsort((anchors, ids, home))
+        anchors, ids = anchors[order], ids[order]
+        cuts = np.searchsorted(home[order], np.arange(len(homes) + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        blobs = [packed(np.diff(ids[cuts[k] : cuts[k + 1]], prepend=0), anchors[cuts[k] : cuts[k + 1]]) for k in some.tolist()]
+        yield pa.RecordBatch.from_pydict({"home": pa.array(homes[some]), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document, with all its shared anchors."""
     got = [unpacked(blob) for batch in batches for blob in batch.column(1).to_pylist()]
     if not got:
         return
-    anchors = np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in got])
-    ids = np.concatenate([d for _, d in got])
-    order = np.argsort(anchors, kind="stable")
-    anchors, ids = anchors[order], ids[order]
-    begin = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.zeros(0, np.int64)
-    if not len(begin):
-        return
-    size = np.diff(np.append(begin, len(anchors)))
-    many = np.repeat(np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin), size)
-    anchors, ids = anchors[many], ids[many]
-    order = np.lexsort((anchors, ids))
-    anchors, ids = anchors[order], ids[order]
-    fresh = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(fresh[1:], len(ids))
-    for k in range(0, len(fresh), 4096):
-        part = range(k, min(k + 4096, len(fresh)))
-        yield pa.RecordBatch.from_pydict({"doc_id": ids[fresh[k : k + 4096]], "anchors": pa.array([np.unique(anchors[fresh[j] : ends[j]]).tobytes() for j in part], pa.binary())})
+    ids, anchors = np.concatenate([np.cumsum(d) for d, _ in got]), np.concatenate([a for _, a in got])
+    order = np.argsort(ids, kind="stable")
+    ids, anchors = ids[order], anchors[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    ends = np.append(first[1:], len(ids))
+    for k in range(0, len(first), 4096):
+        part = range(k, min(k + 4096, len(first)))
+        yield pa.RecordBatch.from_pydict({"doc_id": ids[first[k : k + 4096]], "lists": pa.array([[np.unique(anchors[first[j] : ends[j]]).tobytes()] for j in part], pa.list_(pa.binary()))})
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,9 +408,10 @@ def cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = len(homes)
     named = rows.filter("doc_id is not null")
     pairs = named.select("doc_id", "text").mapInArrow(_anchors(homes), "home long, blob binary").repartition(n, "home")
-    shared = scratch.stash(pairs.mapInArrow(_shared, "doc_id long, anchors binary"), "shared")
+    shared = pairs.mapInArrow(_shared(homes), "home long, blob binary").repartition(n, "home")
+    shared = scratch.stash(shared.mapInArrow(_lists, "doc_id long, lists array<binary>"), "shared")
     searched = marks.filter("not copy").select("doc_id", "row_hash").distinct()
-    lists = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("lists")).join(searched, "doc_id")
+    lists = shared.join(searched, "doc_id")
     bodies = named.mapInArrow(_squeezed, "doc_id long, row_hash long, body binary")
     runs = bodies.join(lists, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "body", "lists").mapInArrow(_run_texts(homes), "home long, blob binary")
     spans = scratch.stash(runs.repartition(n, "home").mapInArrow(_removed, "doc_id long, row_hash long, spans binary"), "spans")
