@@ -251,6 +251,8 @@ class CountTree:
 
     def search(self, point: np.ndarray, size: int) -> np.ndarray:
         """Members that the bound lets link with the point."""
+        if not len(self.order):  # a block that no member was dealt to
+            return self.order
         least = (4 * size + 4) // 5
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):

@@ -95,3 +95,28 @@ def test_extreme_signature_is_order_free(side):
     data = np.frombuffer(b"a b c d e f g" * side, np.uint8)
     tokens, at = nj.shingle_sets(data, np.array([0, len(data)]))
     assert nj.signatures(tokens, at).shape == (1,)
+
+
+def test_few_members_in_many_blocks(spark):
+    sets = {k: np.arange(k, k + 100, dtype=np.uint64) for k in range(4)}
+    members = spark.createDataFrame([(k, 0, 1 << 22, 1) for k in sets], "rep long, label long, n long, copies long")
+    dealt = nj._tasks(members).selectExpr("doc_id", "copies", "explode(tasks) AS t").collect()
+    sides = {}
+    for r in dealt:
+        sides.setdefault(r.t.task, set()).add(r.t.side)
+    assert {1} in sides.values()  # the pair of a block with members and an empty one
+    rows = [(r.t.task, r.t.side, r.doc_id, r.copies, bytearray(sets[r.doc_id].tobytes())) for r in dealt]
+    tasks = spark.createDataFrame(rows, "task long, side int, rep long, copies long, tokens binary")
+    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(nj._verify, "u long, v long, links long").collect()
+    links = {}
+    for r in found:
+        if r.v is None:
+            links[r.u] = links.get(r.u, 0) + r.links
+    assert links == dict.fromkeys(sets, 3)
+
+
+def test_no_pairs_with_an_empty_side():
+    tokens, at, one = np.arange(9, dtype=np.uint64), np.array([0, 9]), np.ones(1, np.int64)
+    for left, right in (([0], []), ([], [0])):
+        edges, links = nj.join_block(tokens, at, one, np.array(left, np.int64), np.array(right, np.int64))
+        assert edges == [] and links.tolist() == [0]
