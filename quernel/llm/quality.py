@@ -5,7 +5,9 @@ verdict: the zstandard ratio (compressed / raw bytes) of the whole document must
 the band of its length class, and most of its fixed-size chunks must lie in the chunk
 band. A ratio below a band means repetitive text, one above it incompressible text.
 Shorter texts compress worse (frame overhead, no history), so each length class has
-its own limits.
+its own limits; they fall up to 4 MiB, beyond the compressor's window of 2 MiB. Ratios
+and lengths are of letters, not of UTF-8 bytes: what is compressed has one byte for a
+letter of any alphabet, so a text's verdict does not depend on its script.
 
 Cases: null text counts as empty; an empty text has no words and fails the base rule.
 Very long texts are read whole, chunk by chunk. Rows are judged one by one, so
@@ -29,7 +31,8 @@ WINDOW = 8
 #: (shorter than so many bytes, lowest ratio, highest ratio) of a whole document.
 BANDS = (
     (128, 0.60, 1.15), (256, 0.50, 1.00), (512, 0.47, 0.85), (1024, 0.46, 0.78), (2048, 0.445, 0.70),
-    (4096, 0.43, 0.65), (8192, 0.415, 0.60), (16384, 0.405, 0.58), (1 << 62, 0.375, 0.58),
+    (4096, 0.43, 0.65), (8192, 0.415, 0.60), (16384, 0.405, 0.58), (1 << 16, 0.375, 0.58),
+    (1 << 18, 0.36, 0.58), (1 << 20, 0.33, 0.58), (1 << 22, 0.30, 0.58), (1 << 62, 0.28, 0.58),
 )
 #: Band of a full chunk, and the share of chunks that may lie outside.
 CHUNK_BAND = (0.38, 0.65)
@@ -86,6 +89,22 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) with one byte for each code point from U+0080 to U+1FFF: its place in its block of 128.
+
+    Ideographs and syllable blocks, which say as much as two or three letters, keep their three bytes.
+    """
+    one, two = np.append(data[1:], 0), np.append(data[2:], [0, 0])
+    cont, cont2 = (one & 0xC0) == 0x80, (two & 0xC0) == 0x80
+    pair = np.flatnonzero((data >= 0xC2) & (data <= 0xDF) & cont)
+    triple = np.flatnonzero((data >= 0xE0) & (data <= 0xE1) & cont & cont2)
+    out, stay = data.copy(), np.ones(len(data), bool)
+    out[pair + 1] = 0x80 | (data[pair] & 1) << 6 | data[pair + 1] & 0x3F
+    out[triple + 2] = 0x80 | (data[triple + 1] & 1) << 6 | data[triple + 2] & 0x3F
+    stay[pair] = stay[triple] = stay[triple + 1] = False
+    return out[stay], np.concatenate([[0], np.cumsum(stay)])[offsets]
+
+
 def compression(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, int, int]:
     """(whole-document ratio, chunks outside the band, full chunks)."""
     if not text:
@@ -108,8 +127,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=LEVEL)
     for rows, data, offsets in bw.chunks(batches, "text"):
         out = base_counts(data, offsets)
-        sizes = np.diff(offsets)
-        packed = [compression(data[offsets[k] : offsets[k + 1]].tobytes(), packer) for k in range(len(sizes))]
+        body, at = letters(data, offsets)
+        sizes = np.diff(at)
+        packed = [compression(body[at[k] : at[k + 1]].tobytes(), packer) for k in range(len(sizes))]
         out["ratio"], out["bad_chunks"], out["n_chunks"] = (np.array(x) for x in zip(*packed, strict=True))
         out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
         out["kept"] = ~out["base_failed"] & np.array([in_band(int(size), *x) for size, x in zip(sizes, packed, strict=True)])

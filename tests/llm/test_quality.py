@@ -62,3 +62,45 @@ def test_bands_reject_repetition_and_noise(spark):
     few = " ".join(rng.choices(["aa", "bb", "cc"], k=6000))
     docs = spark.createDataFrame([(0, prose), (1, few), (2, noise)], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in quality.judge(docs).collect()} == {0: True, 1: False, 2: False}
+
+
+def clean_text(n_bytes, seed=4):
+    """Words of a Zipf vocabulary, as compressible as prose."""
+    rng = np.random.default_rng(seed)
+    letters = list("etaoinshrdlucmfwypvbgkjqxz")
+    vocab = ["".join(rng.choice(letters, k)) for k in rng.integers(2, 8, 9000)]
+    chance = 1.0 / np.arange(3, 9003) ** 1.04
+    words = rng.choice(len(vocab), n_bytes // 3, p=chance / chance.sum())
+    return " ".join(vocab[k] for k in words)[:n_bytes]
+
+
+def verdicts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in quality.judge(docs).collect()}
+
+
+def test_long_clean_texts_stay_and_long_copies_go(spark):
+    text = clean_text(3 << 20)
+    texts = [text[: 48 << 10], text[: 200 << 10], text[: 512 << 10], text[: 1 << 20], text]
+    got = verdicts(spark, [*texts, text[: 100 << 10] * 12])
+    assert [got[k].kept for k in range(6)] == [True] * 5 + [False]
+    assert any(got[k].ratio < 0.375 for k in range(5))
+
+
+def test_script_does_not_change_the_verdict(spark):
+    text = clean_text(300 << 10)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    scripts = [str.maketrans(lower, "".join(chr(first + k) for k in range(26))) for first in (0x61, 0x3B1 - 0x11, 0x430, 0x5D0, 0x621, 0x905, 0xE01, 0x10D0)]
+    for size in (300, 1500, 6000, 30_000, 300_000):
+        got = verdicts(spark, [text[:size].translate(script) for script in scripts])
+        assert all(r.kept for r in got.values()), (size, got)
+        assert max(r.ratio for r in got.values()) - min(r.ratio for r in got.values()) < 0.05
+
+
+def test_letters_fold_alphabets_only():
+    texts = ["", "plain", "é Ж अ ạ", "日本 한글 😀", "", "ж"]
+    raw = [t.encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    body, cut = quality.letters(np.frombuffer(b"".join(raw), np.uint8), at)
+    got = [body[cut[k] : cut[k + 1]].tobytes() for k in range(len(raw))]
+    assert got == [b"".join(bytes([0x80 | ord(c) & 0x7F]) if 0x80 <= ord(c) < 0x2000 else c.encode() for c in t) for t in texts]
