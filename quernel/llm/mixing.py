@@ -2,9 +2,14 @@
 
 Documents fall into cells of source, language and topic. A cell's weight is its number of tokens (words
 `[^\\x20\\x09-\\x0D]+`) times a factor; sweeps rescale the factors until the weights' sums by source, by
-language and by topic have the target shares. A cell's sampling probability is its factor times
-one scale, at most 1, with the scale set so that the expected tokens are `keep` of all. A document is drawn
-when the uniform hash of its id lies below its cell's probability.
+language and by topic have the target shares. Documents of a cell are expected to be drawn its factor times one
+scale often, with the scale set so that the expected tokens are `keep` of all. The whole part of that number is
+drawn always, the rest when the uniform hash of the id lies below it, so documents of a cell that is weighted
+up beyond 1 come more than once, and the expected shares are the raked ones.
+
+Targets can be out of reach (values without tokens, cells that do not exist) and sweeps are limited. So every row
+has `miss`, the largest relative distance of its source's, language's and topic's share from what was
+asked, and `calibrated` where that is at most MET; `report` lists the shares.
 
 Targets are shares by value for any of the three marginals; what is not given is the present
 share to the power `temper`, normalised. Values missing from a given target get no weight.
@@ -32,6 +37,7 @@ from quernel.session import Scratch
 
 TOPICS, LONG_WORD = 8, 6
 TEMPER, KEEP, SWEEPS, TOLERANCE, SEED = 0.8, 0.8, 15, 1e-4, 17
+MET = 1e-3
 DIMS = ("source", "lang", "topic")
 
 
@@ -92,20 +98,32 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, sweeps
     return state
 
 
-def scale_for(cells: DataFrame, keep: float) -> float:
-    """The scale at which min(1, scale * factor) keeps that share of the tokens, as far as cells with weight allow."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    scale = 0.0
-    for _ in range(60):
-        full = F.col("factor") * scale >= 1
-        at_one, free = cells.filter("factor > 0").agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("tokens") * F.col("factor")))).first()
-        if not free:
-            break
-        new = max(scale, (keep * total - (at_one or 0)) / free)
-        if new <= scale * (1 + 1e-12):
-            break
-        scale = new
-    return scale
+def scale_for(cells: DataFrame, keep: float) -> float | None:
+    """The scale at which scale * factor is expected to draw that share of the tokens; None without tokens."""
+    total, weight = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("factor"))).first()
+    if not total:
+        return None
+    return keep * total / weight if weight else 0.0
+
+
+def asked_shares(cells: DataFrame, dim: str, goal: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """(dim, tokens, asked, reached) of all values, those of targets that have no documents too."""
+    if targets is not None:
+        total = sum(v for v in targets.values() if v > 0) or 1.0
+        goal = cells.sparkSession.createDataFrame([(str(k), v / total) for k, v in targets.items() if v > 0], f"{dim} string, goal double")
+    sums = cells.groupBy(dim).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("factor")).alias("reached"))
+    none = F.lit(0.0)
+    return sums.join(goal, dim, "full").select(dim, F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("goal", none).alias("asked"), F.coalesce("reached", none).alias("reached"))
+
+
+def with_misses(cells: DataFrame, goals: dict[str, DataFrame], targets: dict[str, dict[str, float]]) -> DataFrame:
+    """cells with `miss`: the largest relative distance of their three shares from what was asked."""
+    out = cells.withColumn("miss", F.lit(0.0))
+    for dim in DIMS:
+        off = F.when(F.col("asked") > 0, F.abs(F.col("reached") / F.col("asked") - 1)).otherwise(F.col("reached"))
+        shares = asked_shares(cells, dim, goals[dim], targets.get(dim)).filter("tokens > 0").select(dim, off.alias("off"))
+        out = out.join(shares, dim, "left").withColumn("miss", F.greatest("miss", F.coalesce("off", F.lit(0.0)))).drop("off")
+    return out
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -113,20 +131,40 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, factor, probability, selected), a row for each row of docs."""
-    scratch = Scratch(docs.sparkSession, "mixing")
+def _fitted(docs: DataFrame, targets: dict[str, dict[str, float]], temper: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Measured rows, raked cells, goals."""
     rows = scratch.stash(measured(docs), "measured")
     cells = scratch.stash(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    goals = {dim: scratch.stash(target_table(cells, dim, (targets or {}).get(dim), temper), f"goal-{dim}") for dim in DIMS}
-    fitted = rake(cells, goals, scratch)
+    goals = {dim: scratch.stash(target_table(cells, dim, targets.get(dim), temper), f"goal-{dim}") for dim in DIMS}
+    return rows, rake(cells, goals, scratch), goals
+
+
+def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, keep: float = KEEP, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, factor, expected, probability, miss, calibrated, draws, selected), a row for each row of docs.
+
+    `expected` is the expected number of draws, `draws` the number, `probability` the chance of at least one.
+    """
+    targets = targets or {}
+    rows, fitted, goals = _fitted(docs, targets, temper, Scratch(docs.sparkSession, "mixing"))
     scale = scale_for(fitted, keep)
-    drawn = F.least(F.lit(1.0), F.col("factor") * scale) if scale else F.lit(1.0)
-    fitted = fitted.select(*DIMS, "factor", drawn.alias("probability"))
-    return rows.join(fitted, list(DIMS), "left").select("doc_id", *DIMS, "n_tokens", "factor", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("selected"))
+    expected = F.lit(1.0) if scale is None else F.col("factor") * scale
+    fitted = with_misses(fitted, goals, targets).select(*DIMS, "factor", expected.alias("expected"), "miss")
+    rest = F.col("expected") - F.floor("expected")
+    draws = F.floor("expected").cast("int") + (uniform(F.col("doc_id"), seed) < rest).cast("int")
+    drawn = rows.join(fitted, list(DIMS), "left").withColumn("draws", draws)
+    return drawn.select("doc_id", *DIMS, "n_tokens", "factor", "expected", F.least(F.lit(1.0), "expected").alias("probability"), "miss", (F.col("miss") <= MET).alias("calibrated"), "draws", (F.col("draws") > 0).alias("selected"))
+
+
+def report(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
+    """(dim, value, tokens, asked, reached): the share asked of each source, language and topic and the one that draws are expected to have."""
+    targets = targets or {}
+    _, fitted, goals = _fitted(docs, targets, temper, Scratch(docs.sparkSession, "mixing-report"))
+    parts = [asked_shares(fitted, dim, goals[dim], targets.get(dim)).select(F.lit(dim).alias("dim"), F.col(dim).alias("value"), "tokens", "asked", "reached") for dim in DIMS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """docs' rows whose id is drawn."""
-    drawn = probabilities(docs, **options).filter("selected").select(F.col("doc_id").alias("_mx_id")).distinct()
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_mx_id"]), "left_semi")
+    """docs' rows whose id is drawn, each as often as its id is."""
+    drawn = probabilities(docs, **options).filter("selected").groupBy(F.col("doc_id").alias("_mx_id")).agg(F.max("draws").alias("_mx_draws"))
+    often = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_mx_id"])).withColumn("_mx_draw", F.explode(F.sequence(F.lit(1), "_mx_draws")))
+    return often.select(*(docs[c] for c in docs.columns))

@@ -56,3 +56,43 @@ def test_empty_table_own_topic_and_no_tokens(spark):
     assert {r.topic for r in mixing.probabilities(own).collect()} == {"mine"}
     blank = spark.createDataFrame([(1, None, "en", "a"), (2, "", "de", "b")], "doc_id long, text string, lang string, source string")
     assert all(r.selected for r in mixing.probabilities(blank).collect())
+
+
+def skewed(spark):
+    rng = np.random.default_rng(3)
+    langs = rng.choice(["en", "de", "fr"], 3000, p=[0.85, 0.1, 0.05])
+    rows = [(k, " ".join(["word"] * int(rng.integers(5, 40))), str(langs[k]), ["hot", "rare", "other"][0 if k % 3 == 0 else 1 if k % 50 == 1 else 2]) for k in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_delivered_shares_are_the_targets(spark):
+    goal = {"en": 0.4, "de": 0.3, "fr": 0.3}
+    rows = mixing.probabilities(skewed(spark), targets={"lang": goal}).collect()
+    total = sum(r.n_tokens for r in rows)
+    share = lambda name, weight: sum(r.n_tokens * weight(r) for r in rows if r.lang == name) / sum(r.n_tokens * weight(r) for r in rows)
+    for name, want in goal.items():
+        assert abs(share(name, lambda r: r.expected) - want) < 1e-3
+        assert abs(share(name, lambda r: r.draws) - want) < 0.03
+    assert abs(sum(r.n_tokens * r.expected for r in rows) - mixing.KEEP * total) < 1e-6 * total
+    assert max(r.expected for r in rows) > 1 and all(r.calibrated for r in rows)
+    assert all(r.draws - r.expected < 1 and r.expected - r.draws < 1 and r.selected == (r.draws > 0) for r in rows)
+
+
+def test_sample_repeats_what_is_weighted_up(spark):
+    data, options = skewed(spark), {"targets": {"lang": {"en": 0.4, "de": 0.3, "fr": 0.3}}}
+    want = {r.doc_id: r.draws for r in mixing.probabilities(data, **options).collect() if r.draws}
+    got = [r.doc_id for r in mixing.sample(data, **options).collect()]
+    assert max(want.values()) > 1 and {k: got.count(k) for k in set(got)} == want
+    assert mixing.sample(data, **options).columns == data.columns
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    targets = {"lang": {"en": 0.25, "de": 0.25, "fr": 0.25, "xx": 0.25}}
+    shares = {(r.dim, r.value): r for r in mixing.report(skewed(spark), targets).collect()}
+    assert (shares["lang", "xx"].asked, shares["lang", "xx"].reached) == (0.25, 0.0)
+    assert abs(shares["lang", "en"].reached - 1 / 3) < 1e-3 and abs(sum(r.reached for (d, _), r in shares.items() if d == "lang") - 1) < 1e-6
+    assert not any(r.calibrated for r in mixing.probabilities(skewed(spark), targets=targets).collect())
+    # a language of one source only: both targets cannot hold
+    tied = spark.createDataFrame([(k, "some words here", ["en", "de"][k % 2], ["a", "b"][k % 2]) for k in range(100)], "doc_id long, text string, lang string, source string")
+    rows = mixing.probabilities(tied, targets={"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.1, "b": 0.9}}).collect()
+    assert not any(r.calibrated for r in rows) and min(r.miss for r in rows) > 0.1
