@@ -340,10 +340,11 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
     """(doc_id, text, toxic): a bounded, hash-chosen sample of labelled documents."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = docs.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).select("doc_id", "text")
+    known = known.join(usable.select("doc_id"), "doc_id", "left_semi")  # before the limit, which only usable rows fill
     part = lambda label, most: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = part(1, max_toxic).unionByName(part(0, max_clean)).select(F.col("doc_id").alias("_tx_id"), F.col("toxic").alias("_tx_toxic"))
-    rows = docs.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).select("doc_id", "text")
-    rows = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_tx_id"])  # at most max_toxic + max_clean ids
+    rows = usable.join(F.broadcast(chosen), usable["doc_id"] == chosen["_tx_id"])  # at most max_toxic + max_clean ids
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_tx_toxic").cast("long").alias("toxic"))
 
 

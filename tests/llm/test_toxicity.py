@@ -65,3 +65,13 @@ def test_gradient_matches_differences():
         down = loss()
         net.p[name][spot] = keep
         assert abs((up - down) / (2 * step) - g[name][spot]) < 0.05 * abs(g[name][spot]) + 1e-4, name
+
+
+def test_sample_is_filled_with_usable_rows(spark):
+    from quernel.llm import toxicity
+
+    long = "w " * toxicity.MAX_TRAIN_BYTES
+    docs = spark.createDataFrame([(k, "a short text" if k % 5 == 0 else long) for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, 4, 5).collect()
+    assert sorted(r.toxic for r in rows) == [0] * 5 + [1] * 4 and {r.text for r in rows} == {"a short text"}
