@@ -5,13 +5,13 @@ strings with one anchor are one run of text, and equal strings of any documents
 runs meet by anchor and nothing else needs to meet.
   1. (anchor, document) pairs are dealt out by anchor, packed by columns. Anchors of one document only end here.
   2. Texts (compressed) meet the shared anchors of their document; the runs of those anchors are dealt out by anchor.
-  3. Each task builds the suffix order of its distinct runs by column-wise multi-document construction: a round puts one more
-     symbol in front of every run at once. The collection's Burrows-Wheeler transform, sorted stably by symbol,
-     is the order of the lengthened suffixes, from which the next column of the transform is read. After the last
-     round, suffixes of SPAN bytes or more whose neighbours share SPAN bytes are one string; its smallest
-     document keeps it. Runs are taken in slices that end between anchors and fit the cache; the sequential
-     external files of the method are the shuffle's files here. Neighbours' common prefixes
-     are compared up to SPAN bytes, by 64-bit hash.
+  3. Each task builds the Burrows-Wheeler transform and the common prefixes of the collection of its distinct runs by
+     column-wise multi-document construction (`construct`): a round inserts one symbol in front of every run at once
+     and updates both. After the last round, neighbouring suffixes whose common prefixes are SPAN or more
+     are one string, and nothing else decides that; its smallest document keeps it. Strings of different anchors never
+     meet, so a collection is cut between anchors, where SLICE runs are reached. The method's sequential external
+     files are streams here that are read and written front to back once a round, held in a task's memory,
+     which the cut bounds; a machine-local file would be lost with its executor.
   4. The removed strings of a document become maximal spans, and texts that lose something are cut.
 A document with the same bytes as one with a smaller id is not searched: all of it goes if it has SPAN bytes.
 
@@ -37,8 +37,8 @@ from quernel.session import Scratch
 
 SPAN, GRAM = 50, 20
 WINDOWS = SPAN - GRAM + 1
-#: Runs packed together before they are dealt out, and distinct runs in one construction.
-FLUSH, SLICE = 1 << 19, 8192
+#: Runs packed together before they are dealt out, and distinct runs after which a collection is cut.
+FLUSH, SLICE = 1 << 19, 2048
 PLACE = 24
 ROWS_PER_PIECE = 1 << 22
 
@@ -245,54 +245,134 @@ def _run_texts(homes):  # noqa: ANN001, ANN202
     return run
 
 
-def suffix_order(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of all suffixes of the strings text[at : at + size] in sorted order, by column-wise construction.
+def put(stream: np.ndarray, old: np.ndarray, new: np.ndarray, values: np.ndarray | int) -> np.ndarray:
+    """One pass over a stream: its entries go to the places `old` marks, the values to the places `new`."""
+    out = np.empty(len(old), stream.dtype)
+    out[old], out[new] = stream, values
+    return out
+
+
+def least_in(stream: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least entry of each range [low, high], from minima of doubling widths."""
+    level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    out, table = np.empty(len(low), stream.dtype), stream
+    for k in range(int(level.max(initial=0)) + 1):
+        if k:
+            table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
+        part = np.flatnonzero(level == k)
+        out[part] = np.minimum(table[low[part]], table[high[part] - (1 << k) + 1])
+    return out
 
-    A round has the suffixes of up to j symbols in order, and `before`, the transform: the symbol in front
-    of each (0: none). Its stable sort by symbol is the order of the suffixes one symbol longer,
-    after the empty suffixes, which keep the order of the strings.
+
+def construct(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, common prefixes) of all suffixes of the strings text[at : at + size], in sorted order.
+
+    Column-wise: a round inserts one symbol in front of every string at once. Three streams are in the
+    order of the suffixes known so far: the collection's transform `bwt`, the symbol in front of each suffix (0: none); `lcp`,
+    the length of the prefix it shares with the suffix before it; `places`. A string's lengthened suffix c.S goes to
+    the rank of its c among all c of the transform, by the LF mapping. The suffix before it is that of the
+    c before, and the two share one symbol more than the least common prefix between their
+    tails. Each stream is then read once, front to back, and written with the insertions.
     """
     values = np.zeros(256, bool)
     values[text] = True
     code = np.zeros(256, np.uint16 if values.all() else np.uint8)
     code[values] = np.arange(1, int(values.sum()) + 1)
-    shift = np.arange(len(at)) + 1  # a zero stands in front of every string
-    padded = np.zeros(int(size.sum()) + len(at) + 1, code.dtype)
-    inner = np.cumsum(size) - size + shift
-    index = np.repeat(inner - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    padded[index] = code[text[np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]]
-    ends = (inner + size).astype(np.int32)
-    places = ends
+    total, m = int(size.sum()), len(at)
+    inner = np.cumsum(size) - size + np.arange(m) + 1  # a zero stands in front of every string
+    padded = np.zeros(total + m + 1, code.dtype)
+    within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+    index = np.repeat(inner, size) + within
+    padded[index] = code[text[np.repeat(at, size) + within]]
+
+    places = (inner + size).astype(np.int32)  # the empty suffixes, in the order of the strings
+    bwt = padded[places - 1]
+    lcp = np.zeros(m, np.uint8 if size.max(initial=0) < 256 else np.int32)
+    spot, head = np.arange(m), places
     for _ in range(int(size.max(initial=0))):
-        before = padded[places - 1]
-        order = np.argsort(before, kind="stable")
-        order = order[np.count_nonzero(before == 0) :]
-        places = np.concatenate([ends, places[order] - 1])
+        going = bwt[spot] != 0
+        spot, head = spot[going], head[going] - 1
+        by_symbol = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]  # LF mapping, turned round
+        rank = np.empty(len(bwt), np.int32)
+        rank[by_symbol] = np.arange(len(by_symbol), dtype=np.int32)
+        rank = rank[spot]
+        changed = np.zeros(len(by_symbol) + 1, bool)  # the inserted suffixes and those behind them
+        changed[rank], changed[rank + 1], changed[0] = True, True, False
+        changed = np.flatnonzero(changed[:-1])
+        before, here = by_symbol[changed - 1], by_symbol[changed]
+        share = np.zeros(len(changed), lcp.dtype)
+        same = bwt[before] == bwt[here]
+        share[same] = least_in(lcp, before[same] + 1, here[same]) + 1
+        spot = rank + m
+        old = np.ones(len(bwt) + len(spot), bool)
+        old[spot] = False
+        bwt, places, lcp = put(bwt, old, spot, padded[head - 1]), put(places, old, spot, head), put(lcp, old, spot, 0)
+        lcp[m + changed] = share
     back = np.zeros(len(padded), np.int64)
-    back[index] = np.arange(len(index))
-    return back[places[len(ends) :]]
+    back[index] = np.arange(total)
+    return back[places[m:]], lcp[m:]
 
 
 def first_documents(text: np.ndarray, at: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
     """The smallest document that has each string of SPAN bytes of the runs, run after run."""
-    flat = np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    body = text[flat]
     owner = np.repeat(np.arange(len(at)), size)
-    place = np.arange(len(body)) - np.repeat(np.cumsum(size) - size, size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    body = text[np.repeat(at, size) + place]
     whole = place + SPAN <= size[owner]
-    order = suffix_order(body, np.cumsum(size) - size, size)
-    order = order[whole[order]]
-    prefix = bw.prefix_hash(body)
-    hashes = bw.range_hash(prefix, order, order + SPAN)
-    fresh = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    low = np.minimum.reduceat(least[owner[order]], fresh)
+    order, lcp = construct(body, np.cumsum(size) - size, size)
+    long = whole[order]
+    order, lcp = order[long], lcp[long]  # a suffix between two that share SPAN bytes has them too
+    fresh = np.flatnonzero(np.concatenate([[True], lcp[1:] < SPAN])) if len(order) else order
     out = np.zeros(len(body), np.int64)
-    out[order] = np.repeat(low, np.diff(np.append(fresh, len(order))))
+    if len(order):
+        out[order] = np.repeat(np.minimum.reduceat(least[owner[order]], fresh), np.diff(np.append(fresh, len(order))))
     return out[whole]
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row_hash, byte spans) of strings that an earlier document has."""
+def _removed(homes):  # noqa: ANN001, ANN202
+    """Byte spans of strings that an earlier document has, dealt out by document: one blob for each home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_found(batches))
+        if not found:
+            return
+        ids, row, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        home = (bw.mix(ids.view(np.uint64)) % np.uint64(len(homes))).astype(np.int64)
+        order = np.lexsort((low, row, ids, home))
+        cuts = np.searchsorted(home[order], np.arange(len(homes) + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        blobs = []
+        for k in some.tolist():
+            part = order[cuts[k] : cuts[k + 1]]
+            blobs.append(packed(np.diff(ids[part], prepend=0), row[part], np.diff(low[part], prepend=0), high[part] - low[part]))
+        yield pa.RecordBatch.from_pydict({"home": pa.array(homes[some]), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document that loses something, with its maximal spans as bytes."""
+    got = [unpacked(blob) for batch in batches for blob in batch.column(1).to_pylist()]
+    if not got:
+        return
+    ids = np.concatenate([np.cumsum(g[0]) for g in got])
+    row = np.concatenate([g[1] for g in got])
+    low = np.concatenate([np.cumsum(g[2]) for g in got])
+    high = low + np.concatenate([g[3] for g in got])
+    del got
+    order = np.lexsort((low, row, ids))
+    ids, row, low, high = ids[order], row[order], low[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])]))
+    ends = np.append(first[1:], len(ids))
+    for k in range(0, len(first), 4096):
+        part = range(k, min(k + 4096, len(first)))
+        spans = [merged(low[first[j] : ends[j]], high[first[j] : ends[j]]).astype("<i8").tobytes() for j in part]
+        yield pa.RecordBatch.from_pydict({"doc_id": ids[first[k : k + 4096]], "row_hash": row[first[k : k + 4096]], "spans": pa.array(spans, pa.binary())})
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_id, row_hash, begin, end) of spans of strings that an earlier document has."""
     blobs = [unpacked(blob) for batch in batches for blob in batch.column(1).to_pylist()]
     if not blobs:
         return
@@ -351,29 +431,23 @@ def _spans(part, ids, row, start, which, n, begin, earliest):  # noqa: ANN001, A
     fresh = np.concatenate([[True], ~(same & (place[1:] <= place[:-1] + SPAN) & (place[1:] >= place[:-1]))])
     head = np.flatnonzero(fresh)
     low, high = place[head], place[np.append(head[1:], len(place)) - 1] + SPAN
-    ids, row = ids[owner[head]], row[owner[head]]
-    doc = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])]))
-    ends = np.append(doc[1:], len(ids))
-    pairs = np.stack([low, high], axis=1).astype("<i8")
-    yield pa.RecordBatch.from_pydict({"doc_id": ids[doc], "row_hash": row[doc], "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(doc, ends, strict=True)], pa.binary())})
+    yield ids[owner[head]], row[owner[head]], low, high
 
 
-def merged(blobs: list[bytes]) -> np.ndarray:
-    """Maximal spans (start, end) of all spans of a document."""
-    pairs = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    top = np.maximum.accumulate(pairs[:, 1])
-    head = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > top[:-1]]))
-    return np.stack([pairs[head, 0], top[np.append(head[1:], len(pairs)) - 1]], axis=1)
+def merged(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Maximal spans (begin, end) of spans sorted by their begin."""
+    top = np.maximum.accumulate(high)
+    head = np.flatnonzero(np.concatenate([[True], low[1:] > top[:-1]]))
+    return np.stack([low[head], top[np.append(head[1:], len(low)) - 1]], axis=1)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in _texts(batch):
-            lists = rows.column(rows.schema.get_field_index("lists")).to_pylist()
+            found = rows.column(rows.schema.get_field_index("spans")).to_pylist()
             out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": [], "spans": []}
-            for text, blobs in zip(texts, lists, strict=True):
-                spans = merged(blobs).tolist()
+            for text, blob in zip(texts, found, strict=True):
+                spans = np.frombuffer(blob, "<i8").reshape(-1, 2).tolist()
                 edges = [0, *(x for pair in spans for x in pair), len(text)]
                 out["kept"].append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 out["n_removed"].append(len(text) - len(out["kept"][-1]))
@@ -414,11 +488,11 @@ def cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = shared.join(searched, "doc_id")
     bodies = named.mapInArrow(_squeezed, "doc_id long, row_hash long, body binary")
     runs = bodies.join(lists, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "body", "lists").mapInArrow(_run_texts(homes), "home long, blob binary")
-    spans = scratch.stash(runs.repartition(n, "home").mapInArrow(_removed, "doc_id long, row_hash long, spans binary"), "spans")
+    spans = runs.repartition(n, "home").mapInArrow(_removed(homes), "home long, blob binary").repartition(n, "home")
+    spans = scratch.stash(spans.mapInArrow(_merged, "doc_id long, row_hash long, spans binary"), "spans")
     scratch.drop("shared")
-    gone = spans.groupBy("doc_id", "row_hash").agg(F.collect_list("spans").alias("lists"))
     again = named.mapInArrow(_squeezed, "doc_id long, row_hash long, body binary")
-    changed = again.join(gone, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "body", "lists").mapInArrow(_cut, "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin:long,end:long>>")
+    changed = again.join(spans, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "body", "spans").mapInArrow(_cut, "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin:long,end:long>>")
     return marks, changed
 
 

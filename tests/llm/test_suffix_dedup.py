@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quernel.llm import suffix_dedup as sd
 
@@ -70,13 +71,47 @@ def test_pieces_and_slices_change_nothing(spark, monkeypatch):
     assert spread(small) == spread(whole)
 
 
-def test_suffix_order_is_sorted():
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_construction_gives_the_order_and_the_common_prefixes():
     rng = random.Random(0)
-    texts = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(1, 30))) for _ in range(50)]
-    size = np.array([len(t) for t in texts])
-    body = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.cumsum(size) - size
-    order = sd.suffix_order(body, at, size)
-    ends = np.repeat(at + size, size)
-    suffixes = [bytes(body[p : ends[p]]) for p in order]
-    assert suffixes == sorted(suffixes) and sorted(order.tolist()) == list(range(len(body)))
+    for alphabet in (b"ab\x00\xff", b"a", bytes(range(256))):
+        texts = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + [b"a" * 300, bytes(range(256))]
+        size = np.array([len(t) for t in texts])
+        body = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.cumsum(size) - size
+        order, lcp = sd.construct(body, at, size)
+        ends = np.repeat(at + size, size)
+        suffixes = [bytes(body[p : ends[p]]) for p in order]
+        assert suffixes == sorted(suffixes) and sorted(order.tolist()) == list(range(len(body)))
+        assert lcp[1:].tolist() == [shared(a, b) for a, b in zip(suffixes[:-1], suffixes[1:], strict=True)]
+
+
+def test_common_prefixes_decide(spark, monkeypatch):
+    rows = sample(3, 40)
+    honest = sd.construct
+    monkeypatch.setattr(sd, "construct", lambda *a: (honest(*a)[0], np.zeros_like(honest(*a)[1])))
+    text = np.frombuffer("".join(t for _, t in rows).encode()[:200], np.uint8)
+    at, size, least = np.array([0, 100, 0]), np.array([80, 80, 80]), np.array([9, 8, 3])
+    assert sd.first_documents(text, at, size, least).reshape(3, -1)[0].tolist() == [9] * 31
+    monkeypatch.setattr(sd, "construct", honest)
+    assert sd.first_documents(text, at, size, least).reshape(3, -1)[0].tolist() == [3] * 31
+
+
+def test_small_collections_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SLICE", 1)
+    blobs = {}
+    rows = sample(5, 30)
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for _, t in rows])])
+    anchors, start, n, doc = sd.runs_of(data, at)
+    ids = np.array([i for i, _ in rows])[doc]
+    text = b"".join(data[s : s + k + sd.SPAN - 1].tobytes() for s, k in zip(start, n, strict=True))
+    blob = sd.packed(anchors, n.astype(np.uint8), np.frombuffer(text, np.uint8), np.arange(len(n), dtype=np.uint32), ids, ids, start - at[doc])
+    batch = pa.RecordBatch.from_pydict({"home": [0], "blob": pa.array([blob], pa.binary())})
+    for slice_ in (1, 7, 1 << 20):
+        monkeypatch.setattr(sd, "SLICE", slice_)
+        blobs[slice_] = list(zip(*(np.concatenate(x).tolist() for x in zip(*sd._found(iter([batch])), strict=True)), strict=True))
+    assert blobs[1] == blobs[7] == blobs[1 << 20] and blobs[1]
