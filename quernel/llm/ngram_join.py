@@ -20,11 +20,13 @@ Plan
      the range of sizes below it), descends it with the other block's points by the bound, and verifies
      surviving pairs on the sets. A task emits a forest of its links and the number of links of each
      set, so that a group of copies never becomes all its pairs.
-  5. Components over the verified links; the label is the smallest doc_id.
+  5. Components over the verified links of classes; the label is the smallest doc_id of any of their rows.
 
 Shingles are compared by 64-bit hashes. Cases: null or empty texts have an empty set and are their
 own component; a null doc_id takes part, but labels are the smallest non-null id. Repeated rows are one
-class. An empty table gives an empty table. Any other columns are left alone.
+class; rows that repeat an id with other texts are classes of their own, each with its own links. Very long texts are
+blocks of their own. Frequent shingles beyond OFTEN_MAX, and cells over SMALL_CELL (joined whole, as a star), cost
+time and change no result. An empty table gives an empty table. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -206,13 +208,13 @@ def _cell_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in bw.sorted_groups(batches, "cell"):
         n = group.column("n").to_numpy()
         order = np.argsort(n, kind="stable")  # the rest of the cell is never coarser than its smallest member
-        rep, n = group.column("rep").to_numpy()[order], n[order]
+        cls, n = group.column("cls").to_numpy()[order], n[order]
         vectors = group.column("counts").take(pa.array(order)).to_pylist()
         groups = resolution(n)
-        forest = Forest(len(rep))
-        for k in range(len(rep) - 1):
+        forest = Forest(len(cls))
+        for k in range(len(cls) - 1):
             if not k or groups[k] != groups[k - 1]:
-                counts = np.zeros((len(rep), groups[k]), np.int64)
+                counts = np.zeros((len(cls), groups[k]), np.int64)
                 for j in range(k, int(np.searchsorted(4 * n, 5 * n[groups == groups[k]].max(), "right"))):
                     counts[j] = folded(vectors[j], int(groups[j]), int(groups[k]))
             rest = np.arange(k + 1, np.searchsorted(4 * n, 5 * n[k], "right"))
@@ -220,8 +222,8 @@ def _cell_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = rest[linked(np.minimum(counts[k], counts[rest]).sum(axis=1), n[k], n[rest])]
             for j in rest.tolist():
                 if forest.join(k, j):
-                    left.append(rep[k])
-                    right.append(rep[j])
+                    left.append(cls[k])
+                    right.append(cls[j])
         if len(left) > 10_000:
             yield pa.RecordBatch.from_pydict({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
             left, right = [], []
@@ -268,10 +270,11 @@ class CountTree:
         return found[(5 * self.n[found] >= 4 * size) & (4 * self.n[found] <= 5 * size)]
 
 
-def join_block(tokens: np.ndarray, at: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+def join_block(tokens: np.ndarray, at: np.ndarray, copies: np.ndarray | None, left: np.ndarray, right: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links between members of `left` and of `right` (indices of sets; the same ones, or none in common).
 
-    Returns a spanning forest of them and, for each set, the copies of the sets that it links with.
+    Returns a spanning forest of them and, for each set, the copies of the sets that it links with. Without `copies`
+    nothing is counted, and pairs that the forest connects already are not verified.
     """
     n = np.diff(at)
     counts = count_vectors(tokens, at, int(min(resolution(n).max(initial=GROUPS[0]), 1024)))
@@ -284,7 +287,7 @@ def join_block(tokens: np.ndarray, at: np.ndarray, copies: np.ndarray, left: np.
     out = []
     for a in left.tolist():
         near = right[tree.search(counts[a], int(n[a]))]
-        near = near[near != a]
+        near = near[near != a] if copies is not None else near[forest.label[near] != forest.label[a]]
         mark[local[at[a] : at[a + 1]]] = True
         for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(n[near]) // VERIFY)) + 1):
             if not len(part):
@@ -294,9 +297,10 @@ def join_block(tokens: np.ndarray, at: np.ndarray, copies: np.ndarray, left: np.
             index = np.repeat(at[part] - ends + size, size) + np.arange(ends[-1])
             common = np.add.reduceat(mark[local[index]].astype(np.int64), ends - size)
             hits = part[linked(common, n[a], size)]
-            links[a] += copies[hits].sum()
-            if not one_block:
-                links[hits] += copies[a]
+            if copies is not None:
+                links[a] += copies[hits].sum()
+                if not one_block:
+                    links[hits] += copies[a]
             for b in hits[forest.label[hits] != forest.label[a]].tolist():
                 if forest.join(a, b):
                     out.append((a, b))
@@ -307,37 +311,42 @@ def join_block(tokens: np.ndarray, at: np.ndarray, copies: np.ndarray, left: np.
 def _task_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in bw.chunks(batches, "text"):
         tokens, at = shingle_sets(data, offsets)
-        rep = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
+        own = signatures(tokens, at)
+        cls = rows.column(rows.schema.get_field_index("cls")).to_numpy()
         tasks = rows.column(rows.schema.get_field_index("tasks")).to_pylist()
         copies = rows.column(rows.schema.get_field_index("copies")).to_pylist()
-        for k, todo in enumerate(tasks):
+        for k in np.flatnonzero(own == cls).tolist():  # another row of the id may have another text
+            todo = tasks[k]
             body = tokens[at[k] : at[k + 1]].tobytes()
             for j in range(0, len(todo), 256):
                 part = todo[j : j + 256]
-                yield pa.RecordBatch.from_pydict({"task": pa.array([t["task"] for t in part], pa.int64()), "side": pa.array([t["side"] for t in part], pa.int32()), "rep": pa.array([rep[k]] * len(part), pa.int64()), "copies": pa.array([copies[k]] * len(part), pa.int64()), "tokens": pa.array([body] * len(part), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"task": pa.array([t["task"] for t in part], pa.int64()), "side": pa.array([t["side"] for t in part], pa.int32()), "cls": pa.array([cls[k]] * len(part), pa.int64()), "copies": pa.array([copies[k]] * len(part), pa.int64()), "tokens": pa.array([body] * len(part), pa.binary())})
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in bw.sorted_groups(batches, "task"):
-        rep, first = np.unique(group.column("rep").to_numpy(), return_index=True)
-        side = group.column("side").to_numpy()[first]
-        bodies = group.column("tokens").take(pa.array(first)).to_pylist()
-        tokens = np.frombuffer(b"".join(bodies), np.uint64)
-        at = np.concatenate([[0], np.cumsum([len(b) // 8 for b in bodies])])
-        copies = group.column("copies").to_numpy()[first]
-        # side 0: the blocks are one; 1 and 2: the two blocks
-        edges, links = join_block(tokens, at, copies, np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-        a, b = np.array(edges, np.int64).reshape(-1, 2).T
-        some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_pydict({"u": np.concatenate([rep[a], rep[some]]), "v": pa.array(np.concatenate([rep[b], rep[some]]), mask=np.arange(len(a) + len(some)) >= len(a)), "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some]]))})
+def _verify(count: bool):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in bw.sorted_groups(batches, "task"):
+            cls, first = np.unique(group.column("cls").to_numpy(), return_index=True)
+            side = group.column("side").to_numpy()[first]
+            bodies = group.column("tokens").take(pa.array(first)).to_pylist()
+            tokens = np.frombuffer(b"".join(bodies), np.uint64)
+            at = np.concatenate([[0], np.cumsum([len(b) // 8 for b in bodies])])
+            copies = group.column("copies").to_numpy()[first] if count else None
+            # side 0: the blocks are one; 1 and 2: the two blocks
+            edges, links = join_block(tokens, at, copies, np.flatnonzero(side != 2), np.flatnonzero(side != 1))
+            a, b = np.array(edges, np.int64).reshape(-1, 2).T
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_pydict({"u": np.concatenate([cls[a], cls[some]]), "v": pa.array(np.concatenate([cls[b], cls[some]]), mask=np.arange(len(a) + len(some)) >= len(a)), "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some]]))})
+
+    return run
 
 
 def _tasks(members: DataFrame) -> DataFrame:
-    """(doc_id, copies, array of (task, side)): the cluster's blocks are paired, and a member goes to its block's pairs."""
+    """(doc_id, cls, copies, array of (task, side)): the cluster's blocks are paired, and a member goes to its block's pairs."""
     sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("volume")).filter("m > 1")
     spread = F.when(F.col("m") <= 192, 1).otherwise(F.least(F.ceil(F.col("m") / 96), F.lit(24)))
     blocks = F.greatest(F.ceil(F.col("m") / 2048), F.ceil(F.col("volume") / (1 << 21)), spread).cast("int")
-    dealt = members.join(sizes, "label").withColumn("b", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("b")).cast("int"))
+    dealt = members.join(sizes, "label").withColumn("b", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("b")).cast("int"))
     other = F.sequence(F.lit(0), F.col("b") - 1)
     task = F.transform(
         other,
@@ -346,11 +355,14 @@ def _tasks(members: DataFrame) -> DataFrame:
             F.when(k == F.col("own"), 0).when(F.col("own") < k, 1).otherwise(2).alias("side"),
         ),
     )
-    return dealt.select(F.col("rep").alias("doc_id"), "copies", task.alias("tasks"))
+    return dealt.select(F.col("rep").alias("doc_id"), "cls", "copies", task.alias("tasks"))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links), one row for each row of docs; n_links counts the other rows it links with."""
+def join(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), one row for each row of docs; n_links counts the other rows it links with.
+
+    Without count_links there is no n_links, and of each component only a spanning forest need be verified.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -369,30 +381,34 @@ def join(docs: DataFrame) -> DataFrame:
     busy = prefix.filter("often").select("token", "cls").distinct()
     hubs = busy.groupBy("token").agg(F.min("cls").alias("hub"))
     stars = busy.join(hubs, "token").select("cls", "hub").unionByName(cells.filter("hub is not null").select("cls", "hub")).filter("cls <> hub").distinct()
-    names = classes.select("cls", "rep")
-    star_edges = stars.join(names, "cls").select(F.col("rep").alias("u"), F.col("hub").alias("cls")).join(names, "cls").select("u", F.col("rep").alias("v"))
-    small = cells.filter("hub is null").select("cell", "cls").distinct().join(classes.drop("copies"), "cls").select("cell", "rep", "n", "counts")
+    star_edges = stars.select(F.col("cls").alias("u"), F.col("hub").alias("v"))
+    small = cells.filter("hub is null").select("cell", "cls").distinct().join(classes.select("cls", "n", "counts"), "cls").select("cell", "cls", "n", "counts")
     cell_edges = small.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_forest, "u long, v long")
     near = scratch.stash(star_edges.unionByName(cell_edges), "near")
     scratch.drop("prefix", "cells")
 
     clusters = components(near, scratch, "cluster")
-    members = clusters.join(classes.select(F.col("rep").alias("node"), "n", "copies"), "node").select(F.col("node").alias("rep"), "label", "n", "copies")
+    members = clusters.join(classes.select(F.col("cls").alias("node"), "rep", "n", "copies"), "node").withColumnRenamed("node", "cls")
     tasks = scratch.stash(_tasks(members), "tasks")
-    sets = docs.join(tasks, "doc_id").mapInArrow(_task_sets, "task long, side int, rep long, copies long, tokens binary")
-    links = scratch.stash(sets.repartition("task").sortWithinPartitions("task").mapInArrow(_verify, "u long, v long, links long"), "links")
+    sets = docs.join(tasks, "doc_id").select("text", "cls", "copies", "tasks").mapInArrow(_task_sets, "task long, side int, cls long, copies long, tokens binary")
+    links = scratch.stash(sets.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(count_links), "u long, v long, links long"), "links")
     scratch.drop("near", "tasks")
 
-    found = components(links.filter("v is not null").select("u", "v"), scratch, "component").select(F.col("node").alias("rep"), F.col("label").alias("component"))
-    others = links.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    named = classes.select("cls", "rep", "copies").join(found, "rep", "left").join(others, "rep", "left")
-    named = named.select("cls", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"))
-    own = F.when(F.col("doc_id").isNotNull(), 1).otherwise(0)
-    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("links") - own, F.lit(0)).cast("long").alias("n_links"))
+    found = components(links.filter("v is not null").select("u", "v"), scratch, "component").withColumnRenamed("node", "cls")
+    found = found.join(classes.select("cls", "rep"), "cls")
+    lowest = found.groupBy("label").agg(F.min("rep").alias("component"))
+    named = classes.select("cls", "rep", "copies").join(found.select("cls", "label"), "cls", "left").join(lowest, "label", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if count_links:
+        others = links.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
+        named = named.join(others, "cls", "left")
+        own = F.when(F.col("doc_id").isNotNull(), 1).otherwise(0)
+        out.append(F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - own, F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(named.select("cls", "component", *(["links", "copies"] if count_links else [])), "cls", "left").select(*out)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id is its component's smallest, one row for each; rows without an id stay."""
-    first = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_nj_id")).distinct()
+    """docs' rows whose doc_id is their component's smallest; rows without an id, and all rows that repeat such an id, stay."""
+    first = join(docs, count_links=False).filter("doc_id = component_id").select(F.col("doc_id").alias("_nj_id")).distinct()
     joined = docs.join(first, docs["doc_id"] == first["_nj_id"], "left").filter("_nj_id is not null or doc_id is null")
     return joined.drop("_nj_id")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import ngram_join as nj
 
@@ -99,20 +100,20 @@ def test_extreme_signature_is_order_free(side):
 
 def test_few_members_in_many_blocks(spark):
     sets = {k: np.arange(k, k + 100, dtype=np.uint64) for k in range(4)}
-    members = spark.createDataFrame([(k, 0, 1 << 22, 1) for k in sets], "rep long, label long, n long, copies long")
-    dealt = nj._tasks(members).selectExpr("doc_id", "copies", "explode(tasks) AS t").collect()
+    members = spark.createDataFrame([(k, 0, 1 << 22, 1) for k in sets], "rep long, label long, n long, copies long").withColumn("cls", F.col("rep") + 100)
+    dealt = nj._tasks(members).selectExpr("doc_id", "cls", "copies", "explode(tasks) AS t").collect()
     sides = {}
     for r in dealt:
         sides.setdefault(r.t.task, set()).add(r.t.side)
     assert {1} in sides.values()  # the pair of a block with members and an empty one
-    rows = [(r.t.task, r.t.side, r.doc_id, r.copies, bytearray(sets[r.doc_id].tobytes())) for r in dealt]
-    tasks = spark.createDataFrame(rows, "task long, side int, rep long, copies long, tokens binary")
-    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(nj._verify, "u long, v long, links long").collect()
+    rows = [(r.t.task, r.t.side, r.cls, r.copies, bytearray(sets[r.doc_id].tobytes())) for r in dealt]
+    tasks = spark.createDataFrame(rows, "task long, side int, cls long, copies long, tokens binary")
+    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(nj._verify(True), "u long, v long, links long").collect()
     links = {}
     for r in found:
         if r.v is None:
             links[r.u] = links.get(r.u, 0) + r.links
-    assert links == dict.fromkeys(sets, 3)
+    assert links == dict.fromkeys([k + 100 for k in sets], 3)
 
 
 def test_no_pairs_with_an_empty_side():
@@ -120,3 +121,20 @@ def test_no_pairs_with_an_empty_side():
     for left, right in (([0], []), ([], [0])):
         edges, links = nj.join_block(tokens, at, one, np.array(left, np.int64), np.array(right, np.int64))
         assert edges == [] and links.tolist() == [0]
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(8)
+    a, b = ([f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "z"])), (3, " ".join(["y", *b[1:]])), (7, "other words than these here")]
+    for order in (rows, rows[::-1]):
+        assert [(r[0], r[2], r[3]) for r in result(spark, order)] == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 7, 0)]
+
+
+def test_without_counting_the_components_are_the_same(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(k, " ".join([*base[: 120 - k % 9], *(f"x{rng.randrange(10**6)}" for _ in range(k % 9))])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in nj.join(docs, count_links=False).collect())
+    assert got == [r[:3] for r in brute(rows)]
