@@ -12,7 +12,7 @@ the table's size, so what is broadcast and collected is bounded.
 
 Cases: vectors null, or with a null or non-finite component, take no part; a shorter vector counts as
 padded with zeros. Candidates are all rows with another id than the query's; repeated rows are
-candidates each. An id repeated among the queries is asked once, with its smallest vector.
+candidates each. An id repeated among the queries is asked once, with its smallest vector that takes part.
 Fewer than k candidates are returned whole; an empty table gives no rows. Components beyond the range
 where inner products fit 62 bits raise ValueError.
 """
@@ -26,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.session import Scratch
+
+FOUND, FOUND_TYPES = ["query_id", "rank", "vec_id", "score"], "query_id long, rank int, vec_id long, score long"
 QUERY_BLOCK, ROWS, BINS, SCALE = 2048, 2048, 256, 256.0
 
 
@@ -123,11 +126,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all rows."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).filter("vec_id is not null and embedding is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    rows = rows.filter("vec_id is not null and embedding is not null").filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     asked = rows.filter(F.col("vec_id") % every == 0)
     most = rows.mapInArrow(_extent, "most double").agg(F.max("most")).first()[0] or 0.0
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
+    scratch, written = Scratch(spark, "topk"), False
     for block in range(blocks):
         # a block is bounded by QUERY_BLOCK in expectation, not by the table
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow()
@@ -161,10 +165,15 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
                     need[q] -= found[q]["above"]
                 else:  # fewer than k candidates: everything stays
                     span[q] = 1
-            state.unpersist()
-        kept = rows.mapInArrow(_survivors(scorer, sc.broadcast(low), k), "query_id long, vec_id long, score long")
-        out = kept if out is None else out.unionByName(kept)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            state.destroy()
+        floor = sc.broadcast(low)
+        kept = rows.mapInArrow(_survivors(scorer, floor, k), "query_id long, vec_id long, score long")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        kept = kept.withColumn("rank", rank).filter(F.col("rank") <= k)
+        kept.select(*FOUND).write.mode("append").parquet(scratch.path("found"))  # a query is in one block
+        floor.destroy()
+        scorer.destroy()
+        written = True
+    if not written:
+        return spark.createDataFrame([], FOUND_TYPES)
+    return spark.read.schema(FOUND_TYPES).parquet(scratch.path("found"))

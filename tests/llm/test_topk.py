@@ -41,3 +41,8 @@ def test_few_rows_and_none(spark):
 def test_out_of_range_is_refused(spark):
     with pytest.raises(ValueError):
         result(spark, [(0, [1e30, 1.0]), (1, [1e30, 1.0])])
+
+
+def test_invalid_vectors_of_a_query_and_repeated_rows(spark):
+    rows = [(0, [None, 3.0]), (0, [1.0, 2.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [0.5, float("nan")])]
+    assert result(spark, rows, 5) == [(0, 1, 3, 3 * 65536), (0, 2, 3, 3 * 65536)]
