@@ -64,7 +64,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     none = F.lit(None).cast("long")
     page_rows = langid.evidence_rows(pages.select(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html"), "html", langid.host_of(F.col("url")), langid.declared_language(F.col("html")))
-    doc_rows = langid.evidence_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html")), "html", F.col("url"), F.lit(""))
+    doc_rows = langid.evidence_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html")), "html", F.col("url"), F.lit(""), markup=False)
     return langid.identify(page_rows.unionByName(doc_rows), model, ["doc_id", "page_id"])
 
 
