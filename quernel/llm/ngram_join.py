@@ -390,7 +390,8 @@ def join(docs: DataFrame, count_links: bool = True) -> DataFrame:
     clusters = components(near, scratch, "cluster")
     members = clusters.join(classes.select(F.col("cls").alias("node"), "rep", "n", "copies"), "node").withColumnRenamed("node", "cls")
     tasks = scratch.stash(_tasks(members), "tasks")
-    sets = docs.join(tasks, "doc_id").select("text", "cls", "copies", "tasks").mapInArrow(_task_sets, "task long, side int, cls long, copies long, tokens binary")
+    # texts meet their tasks by a merge join at every size: the tasks grow with the corpus
+    sets = docs.join(tasks.hint("merge"), "doc_id").select("text", "cls", "copies", "tasks").mapInArrow(_task_sets, "task long, side int, cls long, copies long, tokens binary")
     links = scratch.stash(sets.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(count_links), "u long, v long, links long"), "links")
     scratch.drop("near", "tasks")
 
