@@ -1,19 +1,23 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word (letters, digits and bytes over 127, A-Z lower-cased) enters as a vector of a learned word embedding, a
-learned embedding of its 3- to 5-byte character n-grams (their mean), and two evidence values:
-the smoothed log-odds of the word and the largest log-odds of its n-grams in toxic against other
-training documents. While training, a document's evidence comes from the other half of the sample, so that the
-network learns how far to trust it. The network reads overlapping windows of WINDOW words, STRIDE apart, both
-ways; attention pools the states; a window's logit follows. A document's score is the calibrated
-sigmoid of its highest window logit, over all windows of its whole text.
-
-The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled rows of at most MAX_TRAIN_BYTES bytes each,
-chosen by hash among the rows allowed for training; every row is scored. Inputs are the text alone.
-
-Cases: null, empty or wordless texts get the score of an empty window. Labels that are null or without
-a document are ignored; repeated labels count as toxic if any is. With no positive or no negative label to learn
-from, every document gets the share of positives. Repeated rows repeat their score. Other columns stay.
+A word (letters, digits and bytes over 127, A-Z lower-cased) enters as two learned vectors: a word embedding (hashed into WORD_ROWS)
+and the sum of the embeddings of its 3- to 6-byte character n-grams, those at its borders marked (hashed into GRAM_ROWS), divided by the root
+of their number. The network knows nothing else of a word; all vectors start at random and are learned with the rest. It reads overlapping
+windows of WINDOW words, STRIDE apart, both ways; attention pools the states; a window's logit follows. A document's score is
+the calibrated sigmoid of its highest window logit, over all windows of its whole text.
+
+Only documents are labelled, not windows. Training goes from all windows to the telling ones: in the first rounds every document gives windows
+at random, later the window that scores highest now (for toxic ones, what makes them so; for clean ones, the worst
+mistake) and one at random. Words are left out at random while training, so that n-grams learn too. Every sixth document of
+either label is kept out of training; the logistic calibration is fitted on these.
+
+The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled rows, chosen by hash among the rows allowed for training (longer ones
+give WINDOWS_A_DOCUMENT of their windows, spread evenly, to each round); every row is scored. Inputs are the text alone.
+
+Cases: null, empty or wordless texts get the score of a document without windows (the output's bias). Labels that are null or without
+a document are ignored; repeated labels count as toxic if any is. With fewer than two positive or two negative labels to learn
+from, every document gets the share of positives. Very long texts are scored whole, window by window. Repeated rows repeat their score. Other columns stay,
+but for one named as the result.
 """
 
 from __future__ import annotations
@@ -29,13 +33,12 @@ from pyspark.sql import functions as F
 from quernel.llm import bytewise as bw
 
 WINDOW, STRIDE = 48, 32
-HIDDEN, EMBED = 8, 4
-WORD_ROWS, GRAM_ROWS = 1 << 18, 1 << 16
-WORD_EMBED, GRAM_EMBED = 1 << 13, 1 << 12
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1200, 2400, 12288
-EPOCHS, STEPS, RESCORE, BATCH, RATE = 4, 400, 2, 64, 0.02
-FADE = 0.01
-GRAMS = (3, 4, 5)
+HIDDEN, EMBED = 12, 12
+WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 15
+MAX_TOXIC, MAX_CLEAN = 1200, 2400
+WINDOWS_A_DOCUMENT = 64
+ROUNDS, FIRST, BATCH, RATE, DECAY, LEFT_OUT = 16, 4, 192, 0.01, 3e-4, 0.3
+GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
 
 SEPARATOR = np.ones(256, bool)
@@ -59,8 +62,10 @@ class Words:
             count = np.maximum(end - begin - size + 1, 0)
             owner = np.repeat(np.arange(len(begin)), count)
             at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            found = bw.range_hash(prefix, at, at + size)
+            found ^= (at == begin[owner]).astype(np.uint64) * np.uint64(0x5555) ^ (at + size == end[owner]).astype(np.uint64) * np.uint64(0x3333)
             rows.append(owner)
-            grams.append((bw.range_hash(prefix, at, at + size) % np.uint64(GRAM_ROWS)).astype(np.int64))
+            grams.append((found % np.uint64(GRAM_ROWS)).astype(np.int64))
         # a word too short for any n-gram is its own
         short = np.flatnonzero(end - begin < GRAMS[0])
         rows.append(short)
@@ -81,17 +86,20 @@ class Words:
         out.word = self.word[which]
         return out
 
-    def evidence(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
-        if not len(self.word):
-            return np.zeros((0, 2), np.float32)
-        return np.stack([word_odds[self.word], np.maximum.reduceat(gram_odds[self.gram], self.gram_at)], axis=1).astype(np.float32)
+    def roots(self) -> np.ndarray:
+        """The root of the number of each word's n-grams."""
+        return np.sqrt(np.diff(np.append(self.gram_at, len(self.gram)))).astype(np.float32)
 
-    def mean_of(self, table: np.ndarray) -> np.ndarray:
+    def pooled(self, table: np.ndarray) -> np.ndarray:
+        """The words' n-gram vectors, summed and divided by the root of their number."""
         if not len(self.word):
             return np.zeros((0, table.shape[1]), np.float32)
-        rows = table[self.gram % GRAM_EMBED]
-        n = np.diff(np.append(self.gram_at, len(self.gram)))
-        return (np.add.reduceat(rows, self.gram_at, axis=0) / n[:, None]).astype(np.float32)
+        out, step = np.empty((len(self.word), table.shape[1]), table.dtype), 1 << 15
+        for k in range(0, len(self.word), step):  # a long text's n-grams are many
+            at = self.gram_at[k : k + step]
+            end = self.gram_at[k + step] if k + step < len(self.gram_at) else len(self.gram)
+            out[k : k + step] = np.add.reduceat(table[self.gram[at[0] : end]], at - at[0], axis=0)
+        return out / self.roots()[:, None]
 
 
 def windows(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,18 +124,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters in float32: W and U of both directions, attention, output."""
+    """Parameters in float32: embeddings, W, U and c of both directions, attention, output."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        inputs = 2 + 2 * EMBED
-        draw = lambda *shape, scale=0.3: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.p = {"word": draw(WORD_EMBED, EMBED, scale=0.05), "gram": draw(GRAM_EMBED, EMBED, scale=0.05), "att": draw(2 * HIDDEN), "out": draw(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
+        draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
+        self.p = {"word": draw(WORD_ROWS, EMBED, scale=0.1), "gram": draw(GRAM_ROWS, EMBED, scale=0.1), "att": draw(2 * HIDDEN, scale=0.3), "out": draw(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32)}
         for side in "fb":
-            self.p |= {f"W{side}": draw(inputs, 3 * HIDDEN), f"U{side}": draw(HIDDEN, 3 * HIDDEN), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"W{side}": draw(2 * EMBED, 3 * HIDDEN, scale=0.3), f"U{side}": draw(HIDDEN, 3 * HIDDEN, scale=0.3), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, words: Words, evidence: np.ndarray) -> np.ndarray:
-        return np.concatenate([evidence, self.p["word"][words.word % WORD_EMBED], words.mean_of(self.p["gram"])], axis=1)
+    def inputs(self, words: Words) -> np.ndarray:
+        return np.concatenate([self.p["word"][words.word], words.pooled(self.p["gram"])], axis=1)
 
     def run(self, side: str, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each step (window, step, hidden); x holds projected inputs of distinct words."""
@@ -157,137 +164,126 @@ class Network:
             keep |= {"kept": kept, "states": states, "weight": weight, "pooled": pooled, "live": live}
         return pooled @ self.p["out"] + self.p["bias"][0]
 
-    def gradient(self, words: Words, evidence: np.ndarray, ids: np.ndarray, mask: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean logistic loss over the windows."""
+    def gradient(self, words: Words, ids: np.ndarray, mask: np.ndarray, target: np.ndarray, left_out: np.ndarray | None = None) -> dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]:
+        """Of the mean logistic loss over the windows; an embedding's is (rows, gradients). left_out marks words without their word vector."""
         p, keep, n = self.p, {}, len(ids)
-        x = self.inputs(words, evidence)
-        delta = ((sigmoid(self.logits(x, ids, mask, keep)) - target) / n).astype(np.float32)
+        x = self.inputs(words)
+        if left_out is not None:
+            x[left_out, :EMBED] = 0
+        delta = ((sigmoid(self.logits(x, ids, mask, keep)) - target) / n).astype(x.dtype)
         states, weight, pooled = keep["states"], keep["weight"], keep["pooled"]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["out"], g["bias"] = pooled.T @ delta, np.array([delta.sum()], np.float32)
+        g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "gram")}
+        g["out"], g["bias"] = pooled.T @ delta, np.array([delta.sum()], x.dtype)
         d_pooled = delta[:, None] * p["out"]
         d_score = weight * ((states - pooled[:, None]) @ d_pooled[:, :, None])[:, :, 0]
-        g["att"] = np.einsum("nt,nth->h", d_score, states)
+        g["att"] = d_score.reshape(-1) @ states.reshape(-1, 2 * HIDDEN)
         d_states = weight[:, :, None] * d_pooled[:, None] + d_score[:, :, None] * p["att"]
         d_x = np.zeros_like(x)
+        order = np.argsort(ids.T.ravel(), kind="stable")  # the windows' words, step after step
+        which = ids.T.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
         for k, side in enumerate("fb"):
             d_out = d_states[:, :, k * HIDDEN : (k + 1) * HIDDEN]
-            d_h, u, d_proj = np.zeros((n, HIDDEN), np.float32), p[f"U{side}"], np.zeros((len(x), 3 * HIDDEN), np.float32)
+            d_h, u, d_in = np.zeros((n, HIDDEN), x.dtype), p[f"U{side}"], np.zeros((WINDOW, n, 3 * HIDDEN), x.dtype)
             for t, h, z, r, c, hu in reversed(keep["kept"][side]):
                 d_h = d_h + d_out[:, t]
                 live = keep["live"][:, t, None]
                 raw = np.where(live > 0, z, 0)
                 d_z, d_c = d_h * (c - h) * raw * (1 - raw), d_h * z * (1 - c * c)
                 d_r = d_c * hu * r * (1 - r)
-                d_in = np.concatenate([d_z, d_r, d_c], axis=1)
+                d_in[t] = np.concatenate([d_z, d_r, d_c], axis=1)
                 d_hu = np.concatenate([d_z, d_r, d_c * r], axis=1)
                 g[f"U{side}"] += h.T @ d_hu
-                np.add.at(d_proj, ids[:, t], d_in)
                 d_h = d_h * (1 - z) + d_hu @ u.T
+            d_proj = np.zeros((len(x), 3 * HIDDEN), x.dtype)
+            d_proj[which[first]] = np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
             g[f"W{side}"], g[f"c{side}"] = x.T @ d_proj, d_proj.sum(axis=0)
             d_x += d_proj @ p[f"W{side}"].T
-        np.add.at(g["word"], words.word % WORD_EMBED, d_x[:, 2 : 2 + EMBED])
-        size = np.diff(np.append(words.gram_at, len(words.gram)))
-        np.add.at(g["gram"], words.gram % GRAM_EMBED, (d_x[:, 2 + EMBED :] / size[:, None])[words.gram_owner])
+        if left_out is not None:
+            d_x[left_out, :EMBED] = 0
+        g["word"] = by_row(words.word, d_x[:, :EMBED])
+        g["gram"] = by_row(words.gram, (d_x[:, EMBED:] / words.roots()[:, None])[words.gram_owner])
         return g
 
 
+def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values)."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else rows
+    return rows[first], np.add.reduceat(values[order], first, axis=0) if len(rows) else values
+
+
 class Adam:
+    """All parameters at the same rate; of the embeddings only the rows that a step touches, which also decay a little."""
+
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p, self.rate, self.t = p, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def step(self, g: dict) -> None:
         self.t += 1
+        high, wide = 1 - 0.9**self.t, 1 - 0.99**self.t
         for k, x in self.p.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            if k in ("word", "gram"):  # embeddings move slowly and fade, so that a small sample is not learnt by heart
-                x *= 1 - FADE
-                x -= (0.1 * self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-4)).astype(np.float32)
-                continue
-            x -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
-
-
-def odds(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds of each table row, from (clean, toxic) documents that hold it, and in all."""
-    no, yes = counts
-    value = np.log((yes + 0.5) / (documents[1] + 1)) - np.log((no + 0.5) / (documents[0] + 1))
-    return (value * (yes + no) / (yes + no + 4.0) / 4.0).astype(np.float32)
-
-
-def _tables(words: Words, toxic: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Evidence tables from the documents marked in docs, one document after another."""
-    by_word, by_gram = np.zeros((2, WORD_ROWS)), np.zeros((2, GRAM_ROWS))
-    end = np.append(words.gram_at, len(words.gram))[1:]
-    cuts = np.searchsorted(words.doc, np.arange(len(docs) + 1))
-    for k in np.flatnonzero(docs).tolist():
-        at = np.unique(words.at[cuts[k] : cuts[k + 1]])
-        size = end[at] - words.gram_at[at]
-        gram = words.gram[np.repeat(words.gram_at[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        by_word[toxic[k], np.unique(words.word[at])] += 1
-        by_gram[toxic[k], np.unique(gram)] += 1
-    documents = np.bincount(toxic[docs], minlength=2)
-    return odds(by_word, documents), odds(by_gram, documents)
+            at, change = g[k] if isinstance(g[k], tuple) else (slice(None), g[k])
+            m = self.m[k][at] * 0.9 + 0.1 * change
+            v = self.v[k][at] * 0.99 + 0.01 * change * change
+            self.m[k][at], self.v[k][at] = m, v
+            now = x[at] - self.rate * (m / high) / (np.sqrt(v / wide) + 1e-6)
+            x[at] = now * (1 - DECAY) if isinstance(g[k], tuple) else now
 
 
 class Model:
-    """A fitted network with its evidence tables and calibration."""
+    """A fitted network with its calibration."""
 
     def __init__(self, texts: list[bytes], toxic: np.ndarray, seed: int = 7):
         toxic = np.asarray(toxic, np.int64)
         self.share = float(toxic.mean()) if len(toxic) else 0.0
-        self.fitted = 0 < toxic.sum() < len(toxic)
+        self.fitted = 2 <= toxic.sum() <= len(toxic) - 2
         if not self.fitted:
             return
         rng = np.random.default_rng(seed)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        words = Words(np.frombuffer(b"".join(texts), np.uint8), offsets)
-        half = np.zeros(len(texts), bool)
-        for label in (0, 1):
-            half[np.flatnonzero(toxic == label)[::2]] = True
-        sides = [words.evidence(*_tables(words, toxic, half)), words.evidence(*_tables(words, toxic, ~half))]
-        self.net = Network(seed)
+        words = Words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
         starts, owner = windows(words.doc, len(texts))
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+        many = np.bincount(owner, minlength=len(texts))[owner]
+        some = (place * WINDOWS_A_DOCUMENT // np.maximum(many, 1) != (place - 1) * WINDOWS_A_DOCUMENT // np.maximum(many, 1)) | (many <= WINDOWS_A_DOCUMENT)
+        starts, owner = starts[some], owner[some]
         at, mask = window_words(starts, owner, words.doc, len(texts))
         ids = words.at[at] if len(words.at) else np.zeros_like(at)
+        aside = np.zeros(len(texts), bool)
+        for label in (0, 1):
+            aside[np.flatnonzero(toxic == label)[1::6]] = True
+
+        self.net = Network(seed)
         adam = Adam(self.net.p, RATE)
-        steps, epoch = 0, 0
-        while epoch < EPOCHS or steps < STEPS:
-            score = np.empty(len(ids), np.float32)
-            for k, group in enumerate((~half, half)):  # evidence of one half serves the other
-                rows = np.flatnonzero(group[owner])
-                if epoch % RESCORE:
-                    score = last
-                elif epoch:
-                    score[rows] = self._score(self.net.inputs(words, sides[k]), ids[rows], mask[rows])
-                else:
-                    score[rows] = np.where(mask[rows], sides[k][ids[rows]].max(axis=2), 0).max(axis=1)
-            last = score
-            best = np.lexsort((score, owner))
-            best = best[np.append(owner[best][1:] != owner[best][:-1], True)]
-            spare = rng.integers(0, len(owner), len(best))
-            chosen = np.concatenate([best, spare[toxic[owner[spare]] == 0]])
-            more = best[toxic[owner[best]] == 1]  # positives are rarer
-            chosen = np.concatenate([chosen, np.repeat(more, max(1, min(4, len(best) // (2 * max(1, len(more))))))])
-            for k, group in enumerate((~half, half)):
-                rows = rng.permutation(chosen[group[owner[chosen]]])
-                for b in range(0, len(rows), BATCH):
-                    part = rows[b : b + BATCH]
-                    which, local = np.unique(ids[part], return_inverse=True)
-                    adam.step(self.net.gradient(words.take(which), sides[k][which], local.reshape(ids[part].shape), mask[part], toxic[owner[part]].astype(np.float32)))
-                    steps += 1
-            epoch += 1
-        top = np.full(len(texts), np.float32(self.net.p["bias"][0]))
-        for k, group in enumerate((~half, half)):
-            rows = np.flatnonzero(group[owner])
-            score = self._score(self.net.inputs(words, sides[k]), ids[rows], mask[rows])
-            if len(rows):
-                peak = np.full(len(texts), -np.inf, np.float32)
-                np.maximum.at(peak, owner[rows], score)
-                top = np.where(np.isfinite(peak), peak, top)
-        self.scale, self.shift = calibrate(top, toxic)
-        self.word_odds, self.gram_odds = _tables(words, toxic, np.ones(len(texts), bool))
+        learn = np.flatnonzero(~aside[owner])
+        weigh = max(1, min(6, round(float((toxic[~aside] == 0).sum() / max(1, (toxic[~aside] == 1).sum())))))
+        rounds = ROUNDS * max(1, min(6, 1500 // max(1, len(texts))))  # a small sample is read more often
+        for turn in range(rounds):
+            lot = rng.random(len(learn))
+            if turn >= FIRST * rounds // ROUNDS:
+                lot[:] += 1
+                score = self._score(self.net.inputs(words), ids[learn], mask[learn])
+                best = np.lexsort((score, owner[learn]))
+                last = best[np.append(owner[learn][best][1:] != owner[learn][best][:-1], True)]
+                lot[last] = 0
+            order = np.lexsort((lot, owner[learn]))
+            rank = np.empty(len(learn), np.int64)
+            rank[order] = np.arange(len(learn)) - np.searchsorted(owner[learn][order], owner[learn][order], "left")
+            sure = turn >= FIRST * rounds // ROUNDS
+            positive = toxic[owner[learn]] == 1
+            rows = np.concatenate([learn[~positive & (rank < 2)], np.repeat(learn[positive & (rank < (1 if sure else 3))], weigh if sure else max(1, weigh // 2))])
+            rows = rng.permutation(rows)
+            adam.rate = RATE * min(1.0, 2.0 * (1 - turn / rounds))
+            for part in np.array_split(rows, max(1, len(rows) // BATCH)):
+                which, local = np.unique(ids[part], return_inverse=True)
+                adam.step(self.net.gradient(words.take(which), local.reshape(ids[part].shape), mask[part], toxic[owner[part]].astype(np.float32), rng.random(len(which)) < LEFT_OUT))
+        rows = np.flatnonzero(aside[owner])
+        top = np.full(len(texts), -np.inf, np.float32)
+        np.maximum.at(top, owner[rows], self._score(self.net.inputs(words), ids[rows], mask[rows]))
+        top = np.where(np.isfinite(top), top, self.net.p["bias"][0])
+        self.scale, self.shift = calibrate(top[aside], toxic[aside])
 
     def _score(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, size: int = 2048) -> np.ndarray:
         out = [self.net.logits(x, ids[k : k + size], mask[k : k + size]) for k in range(0, len(ids), size)]
@@ -301,7 +297,7 @@ class Model:
         top = np.full(n, self.net.p["bias"][0], np.float32)
         starts, owner = windows(words.doc, n)
         if len(starts):
-            x = self.net.inputs(words, words.evidence(self.word_odds, self.gram_odds))
+            x = self.net.inputs(words)
             proj = {s: x @ self.net.p[f"W{s}"] + self.net.p[f"c{s}"] for s in "fb"}
             peak = np.full(n, -np.inf, np.float32)
             for k in range(0, len(starts), 2048):
@@ -340,7 +336,7 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
     """(doc_id, text, toxic): a bounded, hash-chosen sample of labelled documents."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = docs.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).select("doc_id", "text")
+    usable = docs.filter("text is not null").select("doc_id", "text")
     known = known.join(usable.select("doc_id"), "doc_id", "left_semi")  # before the limit, which only usable rows fill
     part = lambda label, most: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = part(1, max_toxic).unionByName(part(0, max_clean)).select(F.col("doc_id").alias("_tx_id"), F.col("toxic").alias("_tx_toxic"))
