@@ -4,21 +4,26 @@ Tokenizing: distinct words of a task go through the tokenizers library once. A w
 where one of .,;:!? follows an ASCII letter or digit; no pre-token of the library reaches over these borders, so
 a text's ids are its words' ids in order. END is appended to every document.
 
-Coding: ids are cut into blocks of BLOCK. Order-2 and order-1 tables hold the id that last followed a context, with a
-confidence. Their adaptive hit probabilities are mixed by an adaptive weight into the probability that the
-predicted id comes. If it does not, an adaptive order-0 model codes the id's class (its high bits) by what is left of the
-same interval, and the low bits follow in a packed stream. All is integer arithmetic, so any machine
-decodes alike. A block starts with fresh models and its own coder, and the blocks of a segment advance together as
-lanes of numpy arrays.
+Coding: every id is coded by the range coder, from predictions of three orders. A segment's ids are numbered by falling frequency.
+  order 2   the id that last followed the two ids before (hashed slots with a confidence);
+  order 1   the id that last followed the id before (likewise), and the id's AHEAD most frequent successors in the segment;
+  order 0   frequencies of all ids, which grow with the ids coded.
+The candidates of orders 2 and 1 come one after another, without repetition. A candidate's share is mixed, by an adaptive weight,
+from the adaptive hit rate of its own order (by confidence) and that of the order below: order 1's if it names the
+same id, else that of the id's order-0 frequency class. What the candidates leave is shared out by order 0. All is integer arithmetic, so any
+machine decodes alike. A block starts from the segment's starting state (order-0 frequencies and successors), with its own
+coder, and the blocks of a segment advance together as lanes of numpy arrays.
 
 Format: a segment is one binary value, whole documents in ascending doc_id order:
-  "QTB1", then little-endian uint64 documents, ids, blocks, END; int64 doc_ids, uint8 null flags, int64 ids per document
-  (zlib, each behind its uint64 length); per block uint32 bytes, crc32 of the bytes, crc32 of the ids; the blocks' bytes:
-  uint32 count of low-bit values, these in LOW_BITS bits each, the coder's 16-bit words.
-Segments lie in Parquet with (shard, segment) as their order. A reader checks both checksums of each block.
+  "QTB2", then little-endian uint64 documents, ids, blocks, ids of a block, END; zlib parts, each behind its uint64 length and
+  its uint32 crc32: int64 doc_ids, uint8 null flags, int64 ids per document, and the starting state: uint32 ids by falling
+  frequency, uint32 starting frequencies, uint32 successors (AHEAD for each id: 24 bits number, 3 bits confidence); per
+  block uint32 bytes, crc32 of the bytes, crc32 of the ids; the blocks' bytes: the coder's 16-bit words.
+Segments lie in Parquet with (shard, segment) as their order. A reader checks all checksums.
 
 Cases: null and empty texts are END alone. Null ids come first. Rows that repeat an id follow each other in order of their text.
-A document may be longer than a segment's aim; it is never cut. An empty table writes no segment and gives no rows.
+A document may be longer than a segment's aim; it is never cut. An empty table writes no segment and gives no rows. Ids may have
+32 bits; a segment of more than MOST_IDS distinct ids raises ValueError. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -39,90 +44,183 @@ from quernel.llm.pieces import Remembered, ragged
 from quernel.session import Scratch
 
 END = 1
-BLOCK = 1024
 SEGMENT = 1 << 22
-SLOTS = 128
-STEP, REFRESH = 24, 64
-CLASSES, LOW_BITS = 64, 10
-#: The least width of a class, and the most that a prediction may take, of 65536.
-LEAST, MOST = 16, 61440
+#: Ids of a block: a power of two that makes about LANES blocks, within these limits.
+BLOCKS, LANES = (1024, 4096), 2048
+#: Hashed slots of orders 1 and 2 in a block, successors of an id in the starting state, and the least count of one.
+SLOTS1, SLOTS2, AHEAD, LEAST_COUNT = 1024, 1024, 1, 4
+#: Order 0: sum of the starting frequencies, what an id coded adds, ids between two sums (times the ids / 2048), and the scale.
+START, STEP, REFRESH, SCALE = 1 << 16, 384, 256, 18
+#: Cells of order-0 sums that are held at once; more blocks are coded in turns.
+CELLS = 1 << 22
+#: The coder's intervals are parts of 1 << WHOLE; order 0 keeps 1 << SCALE of them at least.
+WHOLE = 24
+NONE = (1 << 24) - 1
+MOST_IDS = 1 << (SCALE - 1)
+#: A reader looks for an id among every COARSEth sum first.
+COARSE = 64
+STAGES = 2 + AHEAD
 TOP = np.uint64((1 << 48) - 1)
-MAGIC = b"QTB1"
+TIGHT, CARRY = np.uint64(1 << 28), np.uint64(1 << 32)
+MAGIC = b"QTB2"
 #: Joins distinct words for the library; a special token, whose id then marks the borders.
 GLUE = "<|startoftext|>"
 
 
-class Model:
-    """Predictions for all lanes, in flat tables; every method works on the first n lanes."""
+class Start:
+    """A segment's starting state: ids by falling frequency, frequencies, successors packed with a confidence."""
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray, ahead: np.ndarray):
+        if len(symbols) > MOST_IDS:
+            raise ValueError(f"more than {MOST_IDS} distinct ids in a segment")
+        self.symbols, self.counts = symbols, counts.astype(np.int32)
+        self.ahead = np.concatenate([ahead, np.full((AHEAD, 1), NONE)], axis=1).astype(np.int32)  # a block's first id has none
+        self.bucket = np.append(np.minimum(np.log2(np.arange(len(symbols)) + 1.0).astype(np.int32), 15), [0]).astype(np.int32)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Start, np.ndarray]:
+        """(the state, the ids' numbers)."""
+        found, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty(len(found), np.int64)
+        number[order] = np.arange(len(found))
+        x, d = number[back], len(found)
+        pair, seen = np.unique(x[:-1] * d + x[1:], return_counts=True) if len(x) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pair, seen = pair[seen >= LEAST_COUNT], seen[seen >= LEAST_COUNT]
+        by = np.lexsort((pair, -seen, pair // d))
+        pair, seen = pair[by], seen[by]
+        place = np.arange(len(pair)) - np.searchsorted(pair // d, pair // d, "left")
+        share = seen / np.maximum(counts[order], 1)[pair // d]
+        packed = pair % d | np.clip(np.round(8 * np.sqrt(share)), 1, 7).astype(np.int64) << 24
+        ahead = np.full((AHEAD, d), NONE, np.int64)
+        first = place < AHEAD
+        ahead[place[first], (pair // d)[first]] = packed[first]
+        return cls(found[order], np.maximum(counts[order] * START // max(1, len(ids)), 1), ahead), x.astype(np.int32)
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.symbols.astype("<u4"), self.counts.astype("<u4"), self.ahead[:, :-1].astype("<u4").ravel()]
 
-    def __init__(self, lanes: int):
-        self.slot = np.arange(lanes) * SLOTS
-        self.four = np.arange(lanes) * 4
-        self.row = np.arange(lanes) * (CLASSES + 1)
-        self.next1, self.next2 = (np.full(lanes * SLOTS, -1, np.int32) for _ in range(2))
-        self.p1, self.p2 = (np.tile(np.array([6000, 16000, 32000, 48000], np.int32), lanes) for _ in range(2))
-        self.weight = np.full(lanes, 40000, np.int32)
-        self.counts = np.tile((1 + 100 // (np.arange(CLASSES) + 1)).astype(np.int32), (lanes, 1))
-        self.sums = np.zeros((lanes, CLASSES + 1), np.int32)
-        self.x1, self.x2 = (np.zeros(lanes, np.int64) for _ in range(2))
-
-    def refresh(self) -> None:
-        run = np.cumsum(self.counts, axis=1, dtype=np.int32)
-        self.sums[:, 1:] = run.astype(np.int64) * (65536 - CLASSES * LEAST) // run[:, -1:] + LEAST * np.arange(1, CLASSES + 1)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(predicted id or -1, its width of 65536)."""
-        x1, x2 = self.x1[:n], self.x2[:n]
-        self.at1 = ((x1 * 40503 >> 3) & (SLOTS - 1)) + self.slot[:n]
-        self.at2 = (((x1 * 31153 ^ x2 * 58789) >> 4) & (SLOTS - 1)) + self.slot[:n]
-        e1, e2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        self.has2 = has2 = e2 >= 0
-        self.c1, self.c2 = e1 & 0xFFFFF, e2 & 0xFFFFF  # none is 0xFFFFF
-        self.k1, self.k2 = (e1 >> 20) & 3, (e2 >> 20) & 3
-        self.i1, self.i2 = self.k1 + self.four[:n], self.k2 + self.four[:n]
-        self.q1, self.q2 = self.p1.take(self.i1), self.p2.take(self.i2)
-        guess = np.where(has2, self.c2, self.c1)
-        self.other = np.where(self.c1 == guess, self.q1, (65536 - self.q1) >> 3)
-        weight = self.weight[:n]
-        mixed = self.other + ((weight * ((self.q2 - self.other) >> 1)) >> 15)
-        p = np.clip(np.where(has2, mixed, self.q1), 64, MOST)
-        none = guess == 0xFFFFF
-        p[none] = 0
-        return guess, p
-
-    def update(self, x: np.ndarray, missed: np.ndarray) -> None:
+
+class Model:
+    """Predictions for all lanes, in flat tables; every method works on the first n lanes.
+
+    The candidates are, by row: order 2, order 1, and AHEAD successors of the starting state. Row j of `rest` is what
+    is left of the whole before candidate j, the last row what order 0 shares out.
+    """
+
+    def __init__(self, lanes: int, start: Start):
+        self.start, self.lanes, self.d = start, lanes, len(start.symbols)
+        self.lane = lane = np.arange(lanes)
+        self.slot1, self.slot2 = lane * SLOTS1, lane * SLOTS2
+        self.next1, self.next2 = np.full(lanes * SLOTS1, NONE, np.int32), np.full(lanes * SLOTS2, NONE, np.int32)
+        stage = np.arange(STAGES)[:, None]
+        self.state, self.klass = stage * (16 * lanes) + lane, stage * (24 * lanes) + lane
+        first = np.repeat(np.array([[6000, 14000, 24000, 32000, 40000, 46000, 52000, 56000]] * 2 + [[500, 1000, 4000, 9000, 16000, 25000, 36000, 50000]] * AHEAD), 2, axis=1)
+        self.rate = np.repeat(first.ravel(), lanes).astype(np.int32)
+        self.rate0 = np.full(STAGES * 24 * lanes, 10000, np.int32)
+        self.weight = np.full((STAGES, lanes), 49152, np.int32)
+        self.counts = np.tile(start.counts, (lanes, 1))
+        self.sums = np.zeros((lanes, self.d + 1), np.int32)
+        self.row = lane * (self.d + 1)
+        self.x1, self.x2 = (np.full(lanes, self.d, np.int64) for _ in range(2))
+        self.every = REFRESH * max(1, self.d // 2048)
+
+    def refresh(self, t: int) -> None:
+        if t % self.every == 0:
+            sums = np.cumsum(self.counts, axis=1, dtype=np.int64)
+            sums *= (((1 << SCALE) - self.d) << 20) // sums[:, -1:]
+            sums >>= 20
+            sums += np.arange(1, self.d + 1)
+            self.sums[:, 1:] = sums
+            self.coarse = self.sums[:, COARSE::COARSE].copy()
+
+    def predict(self, n: int) -> None:
+        x1 = self.x1[:n]
+        self.at1 = (x1 * 40503 >> 3 & SLOTS1 - 1) + self.slot1[:n]
+        self.at2 = ((x1 * 31153 ^ self.x2[:n] * 58789) >> 4 & SLOTS2 - 1) + self.slot2[:n]
+        packed = np.empty((STAGES, n), np.int32)
+        self.next2.take(self.at2, out=packed[0], mode="clip")
+        self.next1.take(self.at1, out=packed[1], mode="clip")
+        self.start.ahead.take(x1, axis=1, out=packed[2:], mode="clip")
+        self.c = c = packed & NONE
+        self.k = k = packed >> 24
+        same = np.zeros((STAGES, n), bool)
+        np.equal(c[:-1], c[1:], out=same[:-1])
+        self.ok = ok = c != NONE
+        ok[1:] &= ~same[:-1]
+        ok[2:] &= c[2:] != c[0]
+        context = (k << 1) + same
+        self.i = context * np.int64(self.lanes) + self.state[:, :n]
+        lower = self.start.bucket.take(c, mode="clip")  # of order 0, or of the next order, if it names the same id
+        lower[:-1] = np.where(same[:-1], k[1:] + 16, lower[:-1])
+        self.i0 = lower * np.int64(self.lanes) + self.klass[:, :n]
+        self.q, self.q0 = self.rate.take(self.i), self.rate0.take(self.i0)
+        share = self.q0 + ((self.weight[:, :n] >> 2) * (self.q - self.q0 >> 2) >> 12)
+        left = 256 - (np.maximum(np.minimum(share, 64000), 512) >> 8) * ok
+        self.rest = rest = np.empty((STAGES + 1, n), np.int32)
+        rest[0] = 1 << WHOLE
+        for j in range(STAGES):
+            np.maximum((rest[j] >> 8) * left[j], 1 << SCALE, out=rest[j + 1])
+        ok &= rest[:-1] > rest[1:]  # no share is left where order 0 has its least already
+
+    def interval(self, x: np.ndarray, stage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of ids found by the given stages; STAGES is order 0."""
         n = len(x)
-        hit1, hit2 = x == self.c1, x == self.c2
-        goal2 = hit2 * np.int32(65535)
-        better = np.abs(goal2 - self.other) - np.abs(goal2 - self.q2)
-        self.weight[:n] = np.clip(self.weight[:n] + np.where(self.has2, better >> 5, 0), 4096, 61440)
-        self.p1[self.i1] = self.q1 + ((hit1 * np.int32(65535) - self.q1) >> 5)
-        self.p2[self.i2] = self.q2 + ((goal2 - self.q2) >> 5)
-        for table, at, hit, k, c in ((self.next1, self.at1, hit1, self.k1, self.c1), (self.next2, self.at2, hit2, self.k2, self.c2)):
-            stay = hit | ((k > 0) & (c != 0xFFFFF))
-            table[at] = np.where(stay, c, x) | ((np.where(hit, np.minimum(k + 1, 3), np.maximum(k - 1, 0))) << 20)
-        self.counts[missed, x[missed] >> LOW_BITS] += STEP
+        at = stage * n + self.lane[:n]
+        begin = self.rest.reshape(-1).take(at).astype(np.int64)
+        end = self.rest.reshape(-1).take(at + n, mode="clip")
+        hit = stage < STAGES
+        at = self.row[:n] + x
+        sums = self.sums.reshape(-1)
+        low, high = begin * sums.take(at) >> SCALE, begin * sums.take(at + 1) >> SCALE
+        return (1 << WHOLE) - begin + np.where(hit, 0, low), np.where(hit, begin - end, high - low)
+
+    def stage_of(self, x: np.ndarray) -> np.ndarray:
+        """The first candidate that is x; STAGES if none is."""
+        stage = np.full(len(x), STAGES)
+        for j in range(STAGES - 1, -1, -1):
+            stage[(self.c[j] == x) & self.ok[j]] = j
+        return stage
+
+    def found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, stages) whose intervals hold the values."""
+        n = len(value)
+        stage = (value >= (1 << WHOLE) - self.rest[1:]).sum(axis=0)
+        x = self.c.reshape(-1).take(stage * n + self.lane[:n], mode="clip").astype(np.int64)
+        miss = np.flatnonzero(stage == STAGES)
+        last = self.rest[STAGES].take(miss).astype(np.int64)
+        bound = ((value.take(miss) - (1 << WHOLE) + last + 1 << SCALE) - 1) // last
+        part = self.coarse.take(miss, axis=0) <= bound[:, None]
+        row, step = self.row.take(miss), COARSE >> 1
+        at = np.add.reduce(part, axis=1, dtype=np.int64) * COARSE
+        at += row
+        end, sums = row + self.d, self.sums.reshape(-1)
+        while step:  # all ids up to a step's end, or none
+            ahead = np.minimum(at + step, end)
+            at = np.where(sums.take(ahead) <= bound, ahead, at)
+            step >>= 1
+        x[miss] = np.minimum(at - row, self.d - 1)
+        return x, stage
+
+    def update(self, x: np.ndarray, stage: np.ndarray) -> None:
+        n = len(x)
+        tried = self.ok & (np.arange(STAGES)[:, None] <= stage)
+        hits = self.c == x
+        goal = hits * np.int32(65535)
+        off, off0 = goal - self.q, goal - self.q0
+        self.rate[self.i] = self.q + (off >> 5) * tried
+        self.rate0[self.i0] = self.q0 + (off0 >> 6) * tried
+        weight = self.weight[:, :n]
+        weight += (np.abs(off0) - np.abs(off) >> 6) * tried
+        np.minimum(np.maximum(weight, 8192, out=weight), 61440, out=weight)
+        hit, c, k = hits[:2], self.c[:2], self.k[:2]
+        keep = hit | (k > 0)
+        packed = np.where(keep, c, x.astype(np.int32)) | np.where(hit, np.minimum(k + 1, 7), k >> 1) << 24
+        self.next2[self.at2], self.next1[self.at1] = packed
+        self.counts.reshape(-1)[self.lane[:n] * self.d + x] += np.where(stage < STAGES, STEP // 4, STEP).astype(np.int32)
         self.x2[:n] = self.x1[:n]
         self.x1[:n] = x
 
-    def interval(self, x: np.ndarray, hit: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width): the prediction comes first, the classes share the rest."""
-        at = (x >> LOW_BITS) + self.row[: len(x)]
-        flat, rest = self.sums.reshape(-1), 65536 - p.astype(np.int64)
-        start = p + (rest * flat.take(at) >> 16)
-        end = p + (rest * flat.take(at + 1) >> 16)
-        return np.where(hit, 0, start), np.where(hit, p, end - start)
-
-    def classes(self, value: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """The class whose interval holds the value, by halving."""
-        n = len(value)
-        flat, rest = self.sums.reshape(-1), 65536 - p.astype(np.int64)
-        at, row, step = np.zeros(n, np.int64), self.row[:n], CLASSES // 2
-        while step:
-            at += np.where(p + (rest * flat.take(row + at + step) >> 16) <= value, step, 0)
-            step //= 2
-        return at
-
 
 class Coder:
     """Carry-less 48-bit range coders, one for each lane, that move 16-bit words."""
@@ -133,132 +231,132 @@ class Coder:
         self.at = np.zeros(lanes, np.int64)
 
     def narrow(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
-        """The first n lanes go on to [start, start + width) of 65536."""
-        unit = self.range[:n] >> np.uint64(16)
-        low = self.low[:n] + unit * start.astype(np.uint64)
-        size = unit * width.astype(np.uint64)
-        self.low[:n], self.range[:n] = low, size
-        lanes = np.flatnonzero(((low ^ (low + size)) < np.uint64(1 << 32)) | (size < np.uint64(1 << 16)))
-        low, size = low[lanes], size[lanes]
+        """The first n lanes go on to [start, start + width) of 1 << WHOLE."""
+        unit = self.range[:n] >> np.uint64(WHOLE)
+        low = self.low[:n]
+        low += unit * start.view(np.uint64)
+        size = np.multiply(unit, width.view(np.uint64), out=self.range[:n])
+        settled = (low ^ (low + size)) < CARRY
+        lanes = np.flatnonzero(settled | (size < TIGHT))
+        low, size, settled = low[lanes], size[lanes], settled[lanes]
         while len(lanes):
-            settled = (low ^ (low + size)) < np.uint64(1 << 32)
-            size = np.where(settled, size, (~low + np.uint64(1)) & np.uint64(0xFFFF))
+            if not settled.all():  # the interval is cut at the next border
+                size = np.where(settled, size, (~low + np.uint64(1)) & (TIGHT - np.uint64(1)))
             self.word(lanes, low)
             low = (low << np.uint64(16)) & TOP
             size = size << np.uint64(16)
             self.low[lanes], self.range[lanes] = low, size
-            again = ((low ^ (low + size)) < np.uint64(1 << 32)) | (size < np.uint64(1 << 16))
-            lanes, low, size = lanes[again], low[again], size[again]
+            settled = (low ^ (low + size)) < CARRY
+            again = np.flatnonzero(settled | (size < TIGHT))
+            lanes, low, size, settled = lanes[again], low[again], size[again], settled[again]
 
 
 class Writer(Coder):
     def __init__(self, lanes: int, room: int):
         super().__init__(lanes)
-        self.out = np.zeros((lanes, room), np.uint16)
+        self.out = np.zeros(lanes * room, np.uint16)
+        self.first = np.arange(lanes) * room
+        self.at += self.first
 
     def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.at[lanes]] = (low >> np.uint64(32)).astype(np.uint16)
-        self.at[lanes] += 1
+        at = self.at.take(lanes)
+        self.out[at] = low >> np.uint64(32)
+        self.at[lanes] = at + 1
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
         for shift in (0, 16, 32):
             self.word(every, (self.low << np.uint64(shift)) & TOP)
-        return [self.out[k, : self.at[k]].astype("<u2").tobytes() for k in range(len(every))]
+        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.first.tolist(), self.at.tolist(), strict=True)]
 
 
 class Reader(Coder):
     def __init__(self, blocks: list[bytes]):
         super().__init__(len(blocks))
-        longest = max(len(b) for b in blocks) // 2
-        self.words = np.zeros((len(blocks), longest + 8), np.uint16)
+        room = max(len(b) for b in blocks) // 2 + 8
+        words = np.zeros((len(blocks), room), np.uint16)
         for k, b in enumerate(blocks):
-            self.words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
+            words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
         self.code = np.zeros(len(blocks), np.uint64)
         for k in range(3):
-            self.code = (self.code << np.uint64(16)) | self.words[:, k]
-        self.at += 3
+            self.code = (self.code << np.uint64(16)) | words[:, k]
+        self.words = words.reshape(-1)
+        self.at += np.arange(len(blocks)) * room + 3
 
     def word(self, lanes: np.ndarray, low: np.ndarray) -> None:  # noqa: ARG002
-        self.code[lanes] = ((self.code[lanes] << np.uint64(16)) & TOP) | self.words[lanes, self.at[lanes]]
-        self.at[lanes] += 1
+        at = self.at.take(lanes)
+        self.code[lanes] = ((self.code.take(lanes) << np.uint64(16)) & TOP) | self.words.take(at)
+        self.at[lanes] = at + 1
 
     def value(self, n: int) -> np.ndarray:
-        unit = self.range[:n] >> np.uint64(16)
-        return np.minimum((self.code[:n] - self.low[:n]) // unit, np.uint64(65535)).astype(np.int64)
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The bytes of the blocks of a segment's ids."""
-    lanes = -(-len(ids) // BLOCK)
-    padded = np.zeros(lanes * BLOCK, np.int32)
-    padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    misses = np.zeros((BLOCK, lanes), bool)
-    model, coder = Model(lanes), Writer(lanes, 2 * BLOCK + 16)  # a step emits two words at most
-    for t in range(min(BLOCK, len(ids))):
-        if t % REFRESH == 0:
-            model.refresh()
-        n = lanes if (lanes - 1) * BLOCK + t < len(ids) else lanes - 1
-        x = columns[t, :n]
-        guess, p = model.predict(n)
-        hit = x == guess
-        coder.narrow(n, *model.interval(x, hit, p))
-        misses[t, :n] = ~hit
-        model.update(x, np.flatnonzero(~hit))
-    words = coder.finish()
-    low, flags = np.ascontiguousarray(columns.T) & ((1 << LOW_BITS) - 1), np.ascontiguousarray(misses.T)
-    out = []
-    for k in range(lanes):
-        values = low[k][flags[k]]
-        bits = (values[:, None] >> np.arange(LOW_BITS - 1, -1, -1)) & 1
-        out.append(struct.pack("<I", len(values)) + np.packbits(bits.astype(np.uint8).ravel()).tobytes() + words[k])
+        unit = self.range[:n] >> np.uint64(WHOLE)
+        return np.minimum((self.code[:n] - self.low[:n]) // unit, np.uint64((1 << WHOLE) - 1)).view(np.int64)
+
+
+def block_size(n_ids: int) -> int:
+    return int(np.clip(1 << max(0, (n_ids // LANES).bit_length()), *BLOCKS))
+
+
+def turns(lanes: int, start: Start) -> Iterator[tuple[int, int]]:
+    """Blocks that are coded together."""
+    step = max(1, CELLS // (len(start.symbols) + 1))
+    for first in range(0, lanes, step):
+        yield first, min(first + step, lanes)
+
+
+def encode_blocks(x: np.ndarray, start: Start, block: int) -> list[bytes]:
+    """The bytes of the blocks of a segment's numbers."""
+    lanes, out = -(-len(x) // block), []
+    for first, last in turns(lanes, start):
+        part = x[first * block : last * block]
+        n_lanes = last - first
+        padded = np.zeros(n_lanes * block, np.int32)
+        padded[: len(part)] = part
+        columns = np.ascontiguousarray(padded.reshape(n_lanes, block).T)
+        model, coder = Model(n_lanes, start), Writer(n_lanes, 3 * block + 16)
+        for t in range(min(block, len(part))):
+            model.refresh(t)
+            n = n_lanes if (n_lanes - 1) * block + t < len(part) else n_lanes - 1
+            now = columns[t, :n]
+            model.predict(n)
+            stage = model.stage_of(now)
+            coder.narrow(n, *model.interval(now, stage))
+            model.update(now, stage)
+        out += coder.finish()
     return out
 
 
-def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
-    lanes = len(blocks)
-    if not lanes:
-        return np.zeros(0, np.int32)
-    columns = np.zeros((BLOCK, lanes), np.int32)
-    low, words = np.zeros((lanes, BLOCK), np.int32), []
-    for k, body in enumerate(blocks):
-        (count,) = struct.unpack_from("<I", body)
-        size = -(-count * LOW_BITS // 8)
-        bits = np.unpackbits(np.frombuffer(body, np.uint8, size, 4))[: count * LOW_BITS].reshape(-1, LOW_BITS)
-        low[k, :count] = bits @ (1 << np.arange(LOW_BITS - 1, -1, -1))
-        words.append(body[4 + size :])
-    used = np.zeros(lanes, np.int64)
-    model, coder = Model(lanes), Reader(words)
-    for t in range(min(BLOCK, n_ids)):
-        if t % REFRESH == 0:
-            model.refresh()
-        n = lanes if (lanes - 1) * BLOCK + t < n_ids else lanes - 1
-        guess, p = model.predict(n)
-        value = coder.value(n)
-        hit = value < p
-        missed = np.flatnonzero(~hit)
-        x = np.where(hit, guess, model.classes(value, p) << LOW_BITS).astype(np.int32)
-        x[missed] += low[missed, used[missed]]
-        used[missed] += 1
-        coder.narrow(n, *model.interval(x, hit, p))
-        model.update(x, missed)
-        columns[t, :n] = x
-    return np.ascontiguousarray(columns.T).reshape(-1)[:n_ids]
+def decode_blocks(blocks: list[bytes], n_ids: int, start: Start, block: int) -> np.ndarray:
+    """The numbers of a segment."""
+    out = [np.zeros(0, np.int32)]
+    for first, last in turns(len(blocks), start):
+        n_lanes, size = last - first, min(n_ids, last * block) - first * block
+        columns = np.zeros((block, n_lanes), np.int32)
+        model, coder = Model(n_lanes, start), Reader(blocks[first:last])
+        for t in range(min(block, size)):
+            model.refresh(t)
+            n = n_lanes if (n_lanes - 1) * block + t < size else n_lanes - 1
+            model.predict(n)
+            x, stage = model.found(coder.value(n))
+            coder.narrow(n, *model.interval(x, stage))
+            model.update(x, stage)
+            columns[t, :n] = x
+        out.append(np.ascontiguousarray(columns.T).reshape(-1)[:size])
+    return np.concatenate(out)
 
 
 def segment_bytes(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment of whole documents."""
-    if len(ids) and (ids.min() < 0 or ids.max() >= CLASSES << LOW_BITS):
-        raise ValueError("ids must fit 16 bits")
-    blocks = encode_blocks(ids)
-    head = [np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), sizes.astype("<i8")]
-    out = [MAGIC, struct.pack("<4Q", len(doc_ids), len(ids), len(blocks), END)]
+    start, x = Start.of(ids)
+    block = block_size(len(ids))
+    blocks = encode_blocks(x, start, block)
+    head = [np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), sizes.astype("<i8"), *start.parts()]
+    out = [MAGIC, struct.pack("<5Q", len(doc_ids), len(ids), len(blocks), block, END)]
     for part in head:
-        body = zlib.compress(part.tobytes(), 1)
-        out += [struct.pack("<Q", len(body)), body]
+        body = zlib.compress(part.tobytes(), 6)
+        out += [struct.pack("<QI", len(body), zlib.crc32(body)), body]
     raw = ids.astype("<u4")
-    table = [(len(b), zlib.crc32(b), zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK].tobytes())) for k, b in enumerate(blocks)]
+    table = [(len(b), zlib.crc32(b), zlib.crc32(raw[k * block : (k + 1) * block].tobytes())) for k, b in enumerate(blocks)]
     return b"".join([*out, np.array(table, "<u4").tobytes(), *blocks])
 
 
@@ -266,12 +364,15 @@ def read_segment(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     """(doc_ids, ids per document, all ids), checked against the checksums."""
     if body[:4] != MAGIC:
         raise ValueError("not a token segment")
-    n_docs, n_ids, n_blocks, _ = struct.unpack_from("<4Q", body, 4)
-    at, head = 36, []
-    for kind in ("<i8", np.uint8, "<i8"):
-        (size,) = struct.unpack_from("<Q", body, at)
-        head.append(np.frombuffer(zlib.decompress(body[at + 8 : at + 8 + size]), kind))
-        at += 8 + size
+    n_docs, n_ids, n_blocks, block, _ = struct.unpack_from("<5Q", body, 4)
+    at, head = 44, []
+    for kind in ("<i8", np.uint8, "<i8", "<u4", "<u4", "<u4"):
+        size, crc = struct.unpack_from("<QI", body, at)
+        part = body[at + 12 : at + 12 + size]
+        if zlib.crc32(part) != crc:
+            raise ValueError("the head of the segment is damaged")
+        head.append(np.frombuffer(zlib.decompress(part), kind))
+        at += 12 + size
     table = np.frombuffer(body, "<u4", 3 * n_blocks, at).reshape(-1, 3)
     at += 12 * n_blocks
     ends = at + np.cumsum(table[:, 0].astype(np.int64))
@@ -279,10 +380,12 @@ def read_segment(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     for k, b in enumerate(blocks):
         if zlib.crc32(b) != table[k, 1]:
             raise ValueError(f"block {k} is damaged")
-    ids = decode_blocks(blocks, n_ids)
+    start = Start(head[3], head[4], head[5].reshape(AHEAD, -1))
+    x = decode_blocks(blocks, n_ids, start, block)
+    ids = start.symbols[x].astype(np.int64)
     raw = ids.astype("<u4")
     for k in range(n_blocks):
-        if zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK].tobytes()) != table[k, 2]:
+        if zlib.crc32(raw[k * block : (k + 1) * block].tobytes()) != table[k, 2]:
             raise ValueError(f"block {k} decodes wrongly")
     if len(head[0]) != n_docs or int(head[2].sum()) != n_ids:
         raise ValueError("the document table does not fit the ids")
@@ -366,7 +469,7 @@ class WordIds:
         return ids[order], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _segments(definition):  # noqa: ANN001, ANN202
+def _segments(definition, aim: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(definition.value)
         shard, segment = TaskContext.get().partitionId(), 0
@@ -378,24 +481,30 @@ def _segments(definition):  # noqa: ANN001, ANN202
 
         for rows, data, offsets in bw.chunks(batches, "text"):
             ids, at = words.encode(data, offsets)
-            held.append((rows.column(rows.schema.get_field_index("doc_id")).to_pylist(), np.diff(at), ids))
-            if sum(len(h[2]) for h in held) >= SEGMENT:
-                yield flush()
-                segment, held = segment + 1, []
+            docs = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
+            first = 0
+            while first < len(docs):  # up to the document that fills the segment
+                full = int(np.searchsorted(at, at[first] + max(1, aim - sum(len(h[2]) for h in held)), "left"))
+                last = min(full, len(docs))
+                held.append((docs[first:last], np.diff(at[first : last + 1]), ids[at[first] : at[last]]))
+                if full <= len(docs):
+                    yield flush()
+                    segment, held = segment + 1, []
+                first = last
         if held:
             yield flush()
 
     return run
 
 
-def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
-    """Encode docs (doc_id, text) and write the segments, in ascending doc_id order by (shard, segment)."""
+def write(docs: DataFrame, tokenizer_path: str, path: str, segment: int = SEGMENT) -> None:
+    """Encode docs (doc_id, text) and write segments of about so many ids, in ascending doc_id order by (shard, segment)."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a driver-side parameter; executors get the definition
         definition = spark.sparkContext.broadcast(f.read())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_segments(definition), "shard int, segment int, body binary").write.mode("overwrite").parquet(path)
+    rows.mapInArrow(_segments(definition, segment), "shard int, segment int, body binary").write.mode("overwrite").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,9 +531,9 @@ def read(spark, path: str) -> DataFrame:  # noqa: ANN001
     return docs.join(base, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def digest(docs: DataFrame, tokenizer_path: str, segment: int = SEGMENT) -> DataFrame:
     """Write docs' ids to the shared folder and read them back."""
     spark = docs.sparkSession
     path = Scratch(spark, "token-ids").path("segments")
-    write(docs, tokenizer_path, path)
+    write(docs, tokenizer_path, path, segment)
     return read(spark, path)
