@@ -328,6 +328,30 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     return docs.select(*rest).mapInArrow(run, bw.extended(docs.select(*rest), f"`{ids}` array<int>"))
 
 
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", size: str = "n_bytes", same: str = "round_trip") -> DataFrame:
+    """docs' columns, the text's ids, the bytes of what the ids decode to, and whether that is the text, in one pass.
+
+    Columns named as a result make way.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rest = [c for c in docs.columns if c not in (ids, size, same)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered()
+        for rows, data, offsets in bw.chunks(batches, text):
+            values, at = encode_buffer(shared.value, known, data, offsets)
+            body, ends = decode_buffer(shared.value, values, at)
+            equal = np.diff(ends) == np.diff(offsets)
+            if equal.all():
+                wrong = np.flatnonzero(body != data)
+                equal[np.searchsorted(offsets, wrong, "right") - 1] = False
+            else:
+                equal &= [body[ends[k] : ends[k + 1]].tobytes() == data[offsets[k] : offsets[k + 1]].tobytes() for k in range(len(rows))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32())), pa.array(np.diff(ends), pa.int64()), pa.array(equal)], names=[*rest, ids, size, same])
+
+    return docs.select(*rest).mapInArrow(run, bw.extended(docs.select(*rest), f"`{ids}` array<int>, `{size}` long, `{same}` boolean"))
+
+
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
     """rows' columns and the ids' text (a column of that name makes way); null ids give an empty text."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)

@@ -60,3 +60,19 @@ def test_round_trip_with_spark(spark, vocabulary):
     rows = pieces.decode(pieces.encode(docs, vocabulary), vocabulary, text="decoded").collect()
     assert {r.doc_id: r.decoded for r in rows} == {k: t or "" for k, t in enumerate(texts)}
     assert pieces.encode(docs.limit(0), vocabulary).count() == 0
+
+
+def test_one_pass_equals_encode_and_decode(spark, vocabulary):
+    texts = [None, "", "a ▁ literal mark", "日本 \x00 x", "word " * 20_000, "same", "same"]
+    docs = spark.createDataFrame([(k, t, "q") for k, t in enumerate(texts)], "doc_id long, text string, round_trip string")
+    want = {r.doc_id: r.ids for r in pieces.encode(docs, vocabulary).collect()}
+    for r in pieces.encode_checked(docs, vocabulary).collect():
+        assert (r.ids, r.n_bytes, r.round_trip) == (want[r.doc_id], len((texts[r.doc_id] or "").encode()), True)
+    broken = pieces.Vocabulary.from_model(PATH)
+    broken.bytes = np.where(broken.bytes == ord("m"), ord("n"), broken.bytes).astype(np.uint8)
+    got = {r.doc_id: r.round_trip for r in pieces.encode_checked(docs, broken).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 6: False}
+    short = pieces.Vocabulary.from_model(PATH)
+    short.at = short.at.copy()
+    short.at[1:] = short.at[1:] - (np.arange(len(short.at) - 1) >= len(short.at) - 2)
+    assert pieces.encode_checked(docs.limit(0), short).count() == 0
