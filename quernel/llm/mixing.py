@@ -7,7 +7,8 @@ scale often, with the scale set so that the expected tokens are `keep` of all. T
 drawn always, the rest when the uniform hash of the id lies below it, so documents of a cell that is weighted
 up beyond 1 come more than once, and the expected shares are the raked ones.
 
-Targets can be out of reach (values without tokens, cells that do not exist) and sweeps are limited. So every row
+Sweeps go on until every marginal is met to TOLERANCE, or, where targets are out of reach (values without tokens, cells that do not
+exist), until PATIENCE sweeps have brought them no nearer; their number has no limit. So every row
 has `miss`, the largest relative distance of its source's, language's and topic's share from what was
 asked, and `calibrated` where that is at most MET; `report` lists the shares.
 
@@ -19,7 +20,7 @@ holds most of the text's long words (LONG_WORD bytes or more; ties to the first
 Everything that depends on the number of sources stays in tables; the driver sees single rows.
 
 Cases: null source, language or topic is a value of its own ("", not a missing row); null and empty texts have no
-tokens, weigh nothing and take their cell's probability. A null doc_id is drawn like any id. Rows
+tokens, weigh nothing and take their cell's probability; very long texts are counted whole. A null doc_id is drawn like any id. Rows
 that repeat an id are drawn together. With no tokens at all every probability is 1. Empty tables give empty tables.
 """
 
@@ -36,7 +37,7 @@ from quernel.llm import bytewise as bw
 from quernel.session import Scratch
 
 TOPICS, LONG_WORD = 8, 6
-TEMPER, KEEP, SWEEPS, TOLERANCE, SEED = 0.8, 0.8, 15, 1e-4, 17
+TEMPER, KEEP, PATIENCE, TOLERANCE, SEED = 0.8, 0.8, 3, 1e-4, 17
 MET = 1e-3
 DIMS = ("source", "lang", "topic")
 
@@ -76,11 +77,12 @@ def target_table(cells: DataFrame, dim: str, targets: dict[str, float] | None, t
     return raw.select(dim, (F.col("raw") / total).alias("goal"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with `factor`, such that tokens * factor has the goals' marginals."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = cells.withColumn("factor", F.lit(1.0 / max(total, 1)))
-    for sweep in range(sweeps):
+    sweep, least, idle = 0, float("inf"), 0
+    while True:
         state = state.withColumn("off", F.lit(0.0))
         for dim in DIMS:
             sums = state.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("factor")).alias("sum"))
@@ -93,9 +95,11 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, sweeps
         if sweep:
             scratch.drop(f"sweep{sweep - 1}")
         state = state.drop("off")
-        if most < tolerance:
-            break
-    return state
+        idle = 0 if most < 0.99 * least else idle + 1
+        least = min(least, most)
+        if most < tolerance or idle >= PATIENCE:
+            return state
+        sweep += 1
 
 
 def scale_for(cells: DataFrame, keep: float) -> float | None:
