@@ -40,7 +40,8 @@ WINDOWS = SPAN - GRAM + 1
 #: Runs packed together before they are dealt out, and distinct runs after which a collection is cut.
 FLUSH, SLICE = 1 << 19, 2048
 PLACE = 24
-ROWS_PER_PIECE = 1 << 22
+#: Strings, and runs, that are worked on at once; more only takes more memory.
+ROWS_PER_PIECE, RUNS_PER_PIECE = 1 << 19, 1 << 15
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -413,8 +414,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         cut = end
 
     order = np.lexsort((start, row, ids))
-    for k in range(0, len(order), 1 << 18):
-        yield from _spans(order[k : k + (1 << 18)], ids, row, start, which, n, begin, earliest)
+    for k in range(0, len(order), RUNS_PER_PIECE):
+        yield from _spans(order[k : k + RUNS_PER_PIECE], ids, row, start, which, n, begin, earliest)
 
 
 def _spans(part, ids, row, start, which, n, begin, earliest):  # noqa: ANN001, ANN202
