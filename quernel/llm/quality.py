@@ -4,6 +4,7 @@ Base rules are counted per document over its words (`[^\\x20\\x09-\\x0D]+`), the
 verdict: the zstandard ratio (compressed / raw bytes) of the whole document must lie in
 the band of its length class, and most of its fixed-size chunks must lie in the chunk
 band. A ratio below a band means repetitive text, one above it incompressible text.
+The chunks cover the whole text; one shorter than a chunk is judged by its own class alone.
 Shorter texts compress worse (frame overhead, no history), so each length class has
 its own limits; they fall up to 4 MiB, beyond the compressor's window of 2 MiB. Ratios
 and lengths are of letters, not of UTF-8 bytes: what is compressed has one byte for a
@@ -34,7 +35,7 @@ BANDS = (
     (4096, 0.43, 0.65), (8192, 0.415, 0.60), (16384, 0.405, 0.58), (1 << 16, 0.375, 0.58),
     (1 << 18, 0.36, 0.58), (1 << 20, 0.33, 0.58), (1 << 22, 0.30, 0.58), (1 << 62, 0.28, 0.58),
 )
-#: Band of a full chunk, and the share of chunks that may lie outside.
+#: Band of a chunk, and the share of chunks that may lie outside.
 CHUNK_BAND = (0.38, 0.65)
 CHUNKS_OUTSIDE = 0.5
 SYMBOL = np.zeros(256, bool)
@@ -106,16 +107,18 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def compression(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """(whole-document ratio, chunks outside the band, full chunks)."""
+    """(whole-document ratio, chunks outside the band, chunks); a text that does not end with a chunk has its last CHUNK bytes as one more."""
     if not text:
         return 0.0, 0, 0
     low, high = CHUNK_BAND
-    full = len(text) // CHUNK
+    starts = list(range(0, len(text) - CHUNK + 1, CHUNK))
+    if starts and len(text) % CHUNK:
+        starts.append(len(text) - CHUNK)
     bad = 0
-    for k in range(full):
-        ratio = len(packer.compress(text[k * CHUNK : (k + 1) * CHUNK])) / CHUNK
+    for k in starts:
+        ratio = len(packer.compress(text[k : k + CHUNK])) / CHUNK
         bad += not low <= ratio <= high
-    return len(packer.compress(text)) / len(text), bad, full
+    return len(packer.compress(text)) / len(text), bad, len(starts)
 
 
 def in_band(n_bytes: int, ratio: float, bad: int, full: int) -> bool:

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import zstandard
 
 from quernel.llm import quality
 
@@ -104,3 +105,31 @@ def test_letters_fold_alphabets_only():
     body, cut = quality.letters(np.frombuffer(b"".join(raw), np.uint8), at)
     got = [body[cut[k] : cut[k + 1]].tobytes() for k in range(len(raw))]
     assert got == [b"".join(bytes([0x80 | ord(c) & 0x7F]) if 0x80 <= ord(c) < 0x2000 else c.encode() for c in t) for t in texts]
+
+
+def brute_verdict(text):
+    """(ratio, bad chunks, chunks, kept) by loops."""
+    packer = zstandard.ZstdCompressor(level=3)
+    body = b"".join(bytes([0x80 | ord(c) & 0x7F]) if 0x80 <= ord(c) < 0x2000 else c.encode() for c in text or "")
+    pieces, at = [], 0
+    while at + 4096 <= len(body):
+        pieces.append(body[at : at + 4096])
+        at += 4096
+    if pieces and at < len(body):
+        pieces.append(body[-4096:])
+    bad = sum(not 0.38 <= len(packer.compress(p)) / 4096 <= 0.65 for p in pieces)
+    ratio = len(packer.compress(body)) / len(body) if body else 0.0
+    low, high = next((lo, hi) for limit, lo, hi in quality.BANDS if len(body) < limit)
+    return ratio, bad, len(pieces), not brute(text)[5] and low <= ratio <= high and bad <= len(pieces) / 2
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    clean = clean_text(40_000, 6)
+    noise = " ".join("".join(chr(c) for c in rng.integers(33, 126, 9)) for _ in range(2500))
+    texts = [None, "", "few words here"] + [clean[a : a + int(n)] for a, n in zip(rng.integers(0, 20_000, 25), rng.integers(1, 20_000, 25), strict=True)]
+    texts += [clean[:4096], clean[:4095], clean[:8192], clean[:5000].translate(str.maketrans("abcdefgh", "абвгдежз")), clean[:4096] + noise[:3000], noise[:4096] + clean[:3000], noise[:12_000] + clean[:9000], clean[:9000] + noise[:12_000]]
+    got = verdicts(spark, texts)
+    for k, text in enumerate(texts):
+        assert (got[k].ratio, got[k].bad_chunks, got[k].n_chunks, got[k].kept) == brute_verdict(text), k
+    assert {r.kept for r in got.values()} == {True, False} and got[len(texts) - 4].bad_chunks == 1  # the tail
