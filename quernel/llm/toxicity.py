@@ -11,8 +11,8 @@ at random, later the window that scores highest now (for toxic ones, what makes
 mistake) and one at random. Words are left out at random while training, so that n-grams learn too. Every sixth document of
 either label is kept out of training; the logistic calibration is fitted on these.
 
-The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled rows, chosen by hash among the rows allowed for training (longer ones
-give WINDOWS_A_DOCUMENT of their windows, spread evenly, to each round); every row is scored. Inputs are the text alone.
+The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled rows, chosen by hash among the rows allowed for training; a text of more than
+MAX_WORDS words takes part in training with as many, in passages of WINDOW words spread evenly. Every row is scored. Inputs are the text alone.
 
 Cases: null, empty or wordless texts get the score of a document without windows (the output's bias). Labels that are null or without
 a document are ignored; repeated labels count as toxic if any is. With fewer than two positive or two negative labels to learn
@@ -36,7 +36,7 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED = 12, 12
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 15
 MAX_TOXIC, MAX_CLEAN = 1200, 2400
-WINDOWS_A_DOCUMENT = 64
+MAX_WORDS = 2048
 ROUNDS, FIRST, BATCH, RATE, DECAY, LEFT_OUT = 16, 4, 192, 0.01, 3e-4, 0.3
 GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -111,6 +111,16 @@ def windows(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[owner] + STRIDE * (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)), owner
 
 
+def passages(text: bytes) -> bytes:
+    """The text, or MAX_WORDS of its words in passages of WINDOW words, spread evenly from the first to the last."""
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends, _ = bw.word_spans(PLAIN[raw], np.array([0, len(raw)]))
+    if len(starts) <= MAX_WORDS:
+        return text
+    first = np.linspace(0, len(starts) - WINDOW, MAX_WORDS // WINDOW).astype(np.int64)
+    return b" ".join(text[a:b] for a, b in zip(starts[first].tolist(), ends[first + WINDOW - 1].tolist(), strict=True))
+
+
 def window_words(starts: np.ndarray, owner: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(word positions, mask) of windows, one row each."""
     end = np.cumsum(bw.counts_of(doc, n))[owner]
@@ -245,10 +255,6 @@ class Model:
         rng = np.random.default_rng(seed)
         words = Words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
         starts, owner = windows(words.doc, len(texts))
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
-        many = np.bincount(owner, minlength=len(texts))[owner]
-        some = (place * WINDOWS_A_DOCUMENT // np.maximum(many, 1) != (place - 1) * WINDOWS_A_DOCUMENT // np.maximum(many, 1)) | (many <= WINDOWS_A_DOCUMENT)
-        starts, owner = starts[some], owner[some]
         at, mask = window_words(starts, owner, words.doc, len(texts))
         ids = words.at[at] if len(words.at) else np.zeros_like(at)
         aside = np.zeros(len(texts), bool)
@@ -346,7 +352,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [b for b in batches if len(b)]
-    texts = [t.encode() for b in got for t in b.column(1).to_pylist()]
+    texts = [passages(t.encode()) for b in got for t in b.column(1).to_pylist()]
     toxic = np.array([x for b in got for x in b.column(2).to_pylist()], np.int64)
     yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(Model(texts, toxic))], pa.binary())})
 

@@ -146,3 +146,11 @@ def test_sample_is_filled_with_usable_rows(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
     rows = tx.training_rows(docs, labels, 4, 5).collect()
     assert sorted(r.toxic for r in rows) == [0] * 5 + [1] * 4 and {r.text for r in rows} == {"a text"}
+
+
+def test_long_texts_take_part_in_passages():
+    assert tx.passages(b"a few words") == b"a few words" and tx.passages(b"") == b""
+    words = [f"w{k}" for k in range(50_000)]
+    part = tx.passages(" ".join(words).encode()).decode().split()
+    assert len(part) == tx.MAX_WORDS // tx.WINDOW * tx.WINDOW and part[0] == "w0" and part[-1] == "w49999"
+    assert all(part[k : k + tx.WINDOW] == words[int(part[k][1:]) : int(part[k][1:]) + tx.WINDOW] for k in range(0, len(part), tx.WINDOW))
