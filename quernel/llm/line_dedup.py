@@ -137,10 +137,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     drops = dropped_lines(docs, min_chars, min_docs, batches)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
-    kept = F.when(
-        F.col("_ld_drop").isNotNull(),
-        F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(F.col("_ld_drop"), at)), "\n"),
-    ).otherwise(text)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_ld_drop")  # by hash: linear, however many lines go
+    parts = F.array(F.struct(lines.alias("lines"), stay.alias("stay")))  # as a lambda's variable, so that a text is split once
+    joined_lines = F.transform(parts, lambda x: F.array_join(F.transform(x["stay"], lambda at: F.get(x["lines"], at)), "\n"))[0]
+    kept = F.when(F.col("_ld_drop").isNotNull(), joined_lines).otherwise(text)
     rows = docs.withColumn("_ld_key", F.xxhash64(text))
     joined = rows.join(drops, rows["doc_id"].eqNullSafe(drops["_ld_doc"]) & (rows["_ld_key"] == drops["_ld_text"]), "left")
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
