@@ -3,8 +3,10 @@
 Every string of SPAN bytes holds an anchor: the leftmost smallest, by hash, of its GRAM-byte grams. Neighbouring
 strings with one anchor are one run of text, and equal strings of any documents have equal anchors, so
 runs meet by anchor and nothing else needs to meet.
-  1. (anchor, document) pairs are dealt out by anchor, packed by columns. Anchors of one document only end here.
-  2. Texts (compressed) meet the shared anchors of their document; the runs of those anchors are dealt out by anchor.
+  0. Texts are compressed and dealt out by document once, into a bucketed table, so that they meet what is found without moving
+     again. A document with the same bytes as one with a smaller id is left out: all of it goes if it has SPAN bytes.
+  1. KEY bits of each anchor, its document and its place there are dealt out by anchor, packed by columns. Anchors of one document only end here.
+  2. Texts meet the places of their document's shared anchors; the runs of those anchors are dealt out by anchor.
   3. Each task builds the Burrows-Wheeler transform and the common prefixes of the collection of its distinct runs by
      column-wise multi-document construction (`construct`): a round inserts one symbol in front of every run at once
      and updates both. After the last round, neighbouring suffixes whose common prefixes are SPAN or more
@@ -13,7 +15,6 @@ runs meet by anchor and nothing else needs to meet.
      files are streams here that are read and written front to back once a round, held in a task's memory,
      which the cut bounds; a machine-local file would be lost with its executor.
   4. The removed strings of a document become maximal spans, and texts that lose something are cut.
-A document with the same bytes as one with a smaller id is not searched: all of it goes if it has SPAN bytes.
 
 Cases: null text counts as empty; texts shorter than SPAN lose nothing. Rows that repeat an id are not smaller than
 each other, so they do not remove each other. A null doc_id takes no part and keeps its text. An empty table gives
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +42,22 @@ WINDOWS = SPAN - GRAM + 1
 #: Runs packed together before they are dealt out, and distinct runs after which a collection is cut.
 FLUSH, SLICE = 1 << 19, 2048
 PLACE = 24
+#: Bits of an anchor by which documents are told to share it; two anchors with the same bits only cost work.
+KEY = 40
 #: Strings, and runs, that are worked on at once; more only takes more memory.
 ROWS_PER_PIECE, RUNS_PER_PIECE = 1 << 19, 1 << 15
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first string, number of strings, document) of the runs of a buffer, in order."""
+    return placed_runs(data, offsets)[:4]
+
+
+def placed_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """runs_of and the places of the anchors in their documents, which do not depend on how the buffer is cut."""
     if len(data) < SPAN:
         empty = np.zeros(0, np.int64)
-        return empty.astype(np.uint64), empty, empty, empty
+        return empty.astype(np.uint64), empty, empty, empty, empty
     found = [_runs(data, offsets, k, min(k + ROWS_PER_PIECE, len(data) - SPAN + 1)) for k in range(0, len(data) - SPAN + 1, ROWS_PER_PIECE)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -75,7 +84,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, begin: int, end: int) -> tuple[
     fresh = np.ones(len(start), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(fresh)
-    return grams[place[first]], start[first], np.diff(np.append(first, len(start))), doc[first]
+    return grams[place[first]], start[first], np.diff(np.append(first, len(start))), doc[first], place[first] + begin - offsets[doc[first]]
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -108,29 +117,30 @@ def _dealt(anchors: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _anchors(homes):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = np.uint64(len(homes))
 
         def flush() -> pa.RecordBatch:
-            anchors, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, cuts = _dealt(anchors, homes)
-            anchors, ids = anchors[order], ids[order]
-            fresh = np.ones(len(anchors), bool)
-            fresh[1:] = (anchors[1:] != anchors[:-1]) | (ids[1:] != ids[:-1])
+            keys, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            home = (keys % n).astype(np.int64)
+            order = np.lexsort((places, ids, home))
+            keys, ids, places = keys[order], ids[order], places[order]
+            cuts = np.searchsorted(home[order], np.arange(len(homes) + 1))
             some = np.flatnonzero(np.diff(cuts))
             blobs = []
             for k in some.tolist():
                 part = slice(cuts[k], cuts[k + 1])
-                a, d = anchors[part][fresh[part]], ids[part][fresh[part]]
-                blobs.append(packed(np.diff(a, prepend=np.uint64(0)), d))
+                blobs.append(packed(keys[part] // n, np.diff(ids[part], prepend=0), places[part]))
             return pa.RecordBatch.from_pydict({"home": pa.array(homes[some]), "blob": pa.array(blobs, pa.binary())})
 
-        for rows, data, offsets in bw.chunks(batches, "text"):
-            ids = rows.column(rows.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            anchors, _, _, doc = runs_of(data, offsets)
-            held.append((anchors, ids[doc].astype(np.int64)))
-            if sum(len(a) for a, _ in held) >= FLUSH:
-                yield flush()
-                held = []
+        for batch in batches:
+            for rows, texts in _texts(batch):
+                ids = rows.column(0).to_numpy(zero_copy_only=False)
+                anchors, _, _, doc, place = placed_runs(np.frombuffer(b"".join(texts), np.uint8), _offsets(texts))
+                held.append((anchors & np.uint64((1 << KEY) - 1), ids[doc].astype(np.int64), place.astype(np.int32)))
+                if sum(len(h[0]) for h in held) >= FLUSH:
+                    yield flush()
+                    held = []
         if held:
             yield flush()
 
@@ -138,46 +148,51 @@ def _anchors(homes):  # noqa: ANN001, ANN202
 
 
 def _shared(homes):  # noqa: ANN001, ANN202
-    """(document, anchor) pairs of anchors that two documents have, dealt out by document."""
+    """(document, place) pairs of anchors that two documents have, dealt out by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpacked(blob) for batch in batches for blob in batch.column(1).to_pylist()]
+        n = np.uint64(len(homes))
+        got = [(int(np.searchsorted(homes, home)), *unpacked(blob)) for batch in batches for home, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if not got:
             return
-        anchors = np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in got])
-        ids = np.concatenate([d for _, d in got])
-        order = np.argsort(anchors, kind="stable")
-        anchors, ids = anchors[order], ids[order]
-        begin = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.zeros(0, np.int64)
+        keys = np.concatenate([k * n + np.uint64(home) for home, k, _, _ in got])
+        ids = np.concatenate([np.cumsum(d) for _, _, d, _ in got])
+        places = np.concatenate([p for _, _, _, p in got])
+        del got
+        order = np.argsort(keys, kind="stable")
+        keys, ids, places = keys[order], ids[order], places[order]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         if not len(begin):
             return
-        size = np.diff(np.append(begin, len(anchors)))
+        size = np.diff(np.append(begin, len(keys)))
         many = np.repeat(np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin), size)
-        anchors, ids = anchors[many], ids[many]
-        home = (bw.mix(ids.view(np.uint64)) % np.uint64(len(homes))).astype(np.int64)
-        order = np.lexsort((anchors, ids, home))
-        anchors, ids = anchors[order], ids[order]
+        ids, places = ids[many], places[many]
+        home = (bw.mix(ids.view(np.uint64)) % n).astype(np.int64)
+        order = np.lexsort((places, ids, home))
+        ids, places = ids[order], places[order]
         cuts = np.searchsorted(home[order], np.arange(len(homes) + 1))
         some = np.flatnonzero(np.diff(cuts))
-        blobs = [packed(np.diff(ids[cuts[k] : cuts[k + 1]], prepend=0), anchors[cuts[k] : cuts[k + 1]]) for k in some.tolist()]
+        blobs = [packed(np.diff(ids[cuts[k] : cuts[k + 1]], prepend=0), places[cuts[k] : cuts[k + 1]]) for k in some.tolist()]
         yield pa.RecordBatch.from_pydict({"home": pa.array(homes[some]), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document, with all its shared anchors."""
+    """One row for each document, with the places of all its shared anchors."""
     got = [unpacked(blob) for batch in batches for blob in batch.column(1).to_pylist()]
     if not got:
         return
-    ids, anchors = np.concatenate([np.cumsum(d) for d, _ in got]), np.concatenate([a for _, a in got])
-    order = np.argsort(ids, kind="stable")
-    ids, anchors = ids[order], anchors[order]
+    ids, places = np.concatenate([np.cumsum(d) for d, _ in got]), np.concatenate([p for _, p in got])
+    del got
+    order = np.lexsort((places, ids))
+    ids, places = ids[order], places[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     ends = np.append(first[1:], len(ids))
     for k in range(0, len(first), 4096):
         part = range(k, min(k + 4096, len(first)))
-        yield pa.RecordBatch.from_pydict({"doc_id": ids[first[k : k + 4096]], "lists": pa.array([[np.unique(anchors[first[j] : ends[j]]).tobytes()] for j in part], pa.list_(pa.binary()))})
+        lists = [packed(np.diff(np.unique(places[first[j] : ends[j]]), prepend=np.int32(0))) for j in part]
+        yield pa.RecordBatch.from_pydict({"doc_id": ids[first[k : k + 4096]], "places": pa.array(lists, pa.binary())})
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +202,10 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(bodies, pa.binary())], names=["doc_id", "row_hash", "body"])
 
 
+def _offsets(texts: list[bytes]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     squeeze = zstandard.ZstdDecompressor()
     column = batch.schema.get_field_index("body")
@@ -223,15 +242,18 @@ def _run_texts(homes):  # noqa: ANN001, ANN202
 
         for batch in batches:
             for rows, texts in _texts(batch):
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                offsets = _offsets(texts)
                 joined = b"".join(texts)
                 data = np.frombuffer(joined, np.uint8)
-                lists = rows.column(rows.schema.get_field_index("lists")).to_pylist()
-                wanted = np.unique(np.frombuffer(b"".join(b for part in lists for b in part), np.uint64))
-                anchors, start, n, doc = runs_of(data, offsets)
-                if not len(wanted) or not len(anchors):
+                lists = rows.column(rows.schema.get_field_index("places")).to_pylist()
+                wanted = np.zeros(len(data) + 1, bool)
+                for k, part in enumerate(lists):
+                    at = offsets[k] + np.cumsum(unpacked(part)[0])  # of another text of the same id some may be past the end
+                    wanted[at[at < offsets[k + 1]]] = True
+                anchors, start, n, doc, place = placed_runs(data, offsets)
+                if not len(anchors):
                     continue
-                keep = wanted[np.minimum(np.searchsorted(wanted, anchors), len(wanted) - 1)] == anchors
+                keep = wanted[offsets[doc] + place]
                 anchors, start, n, doc = anchors[keep], start[keep], n[keep], doc[keep]
                 ids = rows.column(0).to_numpy(zero_copy_only=False)[doc]
                 row = rows.column(1).to_numpy(zero_copy_only=False)[doc]
@@ -465,6 +487,19 @@ def _homes(df: DataFrame) -> np.ndarray:
     return np.array(sorted(r["id"] for r in ids.collect()), np.int64)
 
 
+def bucketed(df: DataFrame, n: int, key: list[str], path: str) -> DataFrame:
+    """df as a table of n buckets by key in the shared folder, which joins by key without another shuffle."""
+    name = f"quernel_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(n, *key).saveAsTable(name)
+    let_go(df)
+    return df.sparkSession.table(name)
+
+
+def let_go(df: DataFrame) -> None:
+    """Have the driver collect its garbage: only then do shuffle files that nothing reads any more leave the disks."""
+    df.sparkSession._jvm.System.gc()
+
+
 def cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all rows: doc_id, row_hash, n_bytes, sha256, copy; changed rows: doc_id, row_hash, n_removed, n_spans, kept_sha256, kept, spans).
 
@@ -481,19 +516,20 @@ def cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     homes = _homes(docs)
     n = len(homes)
-    named = rows.filter("doc_id is not null")
-    pairs = named.select("doc_id", "text").mapInArrow(_anchors(homes), "home long, blob binary").repartition(n, "home")
+    key = ["doc_id", "row_hash"]
+    searched = marks.filter(f"not copy and n_bytes >= {SPAN}").select(*key).distinct()
+    squeezed = rows.filter("doc_id is not null").mapInArrow(_squeezed, "doc_id long, row_hash long, body binary").repartition(n, *key)
+    bodies = bucketed(squeezed.join(searched, key, "left_semi"), n, key, scratch.path("bodies"))
+    pairs = bodies.mapInArrow(_anchors(homes), "home long, blob binary").repartition(n, "home")
     shared = pairs.mapInArrow(_shared(homes), "home long, blob binary").repartition(n, "home")
-    shared = scratch.stash(shared.mapInArrow(_lists, "doc_id long, lists array<binary>"), "shared")
-    searched = marks.filter("not copy").select("doc_id", "row_hash").distinct()
-    lists = shared.join(searched, "doc_id")
-    bodies = named.mapInArrow(_squeezed, "doc_id long, row_hash long, body binary")
-    runs = bodies.join(lists, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "body", "lists").mapInArrow(_run_texts(homes), "home long, blob binary")
+    shared = scratch.stash(shared.mapInArrow(_lists, "doc_id long, places binary").join(searched, "doc_id").select(*key, "places"), "shared")
+    let_go(docs)
+    runs = bodies.join(shared, key).select(*key, "body", "places").mapInArrow(_run_texts(homes), "home long, blob binary")
     spans = runs.repartition(n, "home").mapInArrow(_removed(homes), "home long, blob binary").repartition(n, "home")
     spans = scratch.stash(spans.mapInArrow(_merged, "doc_id long, row_hash long, spans binary"), "spans")
     scratch.drop("shared")
-    again = named.mapInArrow(_squeezed, "doc_id long, row_hash long, body binary")
-    changed = again.join(spans, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "body", "spans").mapInArrow(_cut, "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin:long,end:long>>")
+    let_go(docs)
+    changed = bodies.join(spans, key).select(*key, "body", "spans").mapInArrow(_cut, "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin:long,end:long>>")
     return marks, changed
 
 

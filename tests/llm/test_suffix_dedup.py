@@ -115,3 +115,28 @@ def test_small_collections_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(sd, "SLICE", slice_)
         blobs[slice_] = list(zip(*(np.concatenate(x).tolist() for x in zip(*sd._found(iter([batch])), strict=True)), strict=True))
     assert blobs[1] == blobs[7] == blobs[1 << 20] and blobs[1]
+
+
+def test_copies_are_left_out_and_texts_move_once(spark, monkeypatch):
+    rows = [(1000 * k + i, t) for k in range(8) for i, t in sample(6, 40)] + [(17, "another text of an id that is there already " * 3)]
+    kept, honest = [], sd.bucketed
+    monkeypatch.setattr(sd, "bucketed", lambda *a: kept.append(honest(*a)) or kept[-1])
+    assert result(spark, rows) == brute(rows)
+    assert kept[0].count() == len({t for _, t in rows if len(t.encode()) >= 50})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        plan = sd.cut(docs)[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # of the spans, not of the texts
+
+
+def test_places_do_not_depend_on_how_a_buffer_is_cut(monkeypatch):
+    texts = [t.encode() for _, t in sample(4, 20)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    runs = lambda d, o, shift=0: {(int(x) + shift, int(p), int(a)) for a, _, _, x, p in zip(*sd.placed_runs(d, o), strict=True)}
+    alone = set().union(*(runs(np.frombuffer(t, np.uint8), np.array([0, len(t)]), k) for k, t in enumerate(texts)))
+    assert runs(data, offsets) == alone
+    monkeypatch.setattr(sd, "ROWS_PER_PIECE", 61)
+    assert runs(data, offsets) == alone
