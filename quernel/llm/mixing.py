@@ -17,7 +17,8 @@ share to the power `temper`, normalised. Values missing from a given target get
 A topic column is used where there is one. Otherwise the topic is the group, of TOPICS hashed groups, that
 holds most of the text's long words (LONG_WORD bytes or more; ties to the first group), or "none".
 
-Everything that depends on the number of sources stays in tables; the driver sees single rows.
+The driver sees single rows. Up to HELD_CELLS cells are raked by a single task in one job, since each job of a sweep costs the driver memory
+for its plan; more cells, as from very many sources, stay in tables and are raked by joins. Both make the same sweeps and stop alike.
 
 Cases: null source, language or topic is a value of its own ("", not a missing row); null and empty texts have no
 tokens, weigh nothing and take their cell's probability; very long texts are counted whole. A null doc_id is drawn like any id. Rows
@@ -39,6 +40,8 @@ from quernel.session import Scratch
 TOPICS, LONG_WORD = 8, 6
 TEMPER, KEEP, PATIENCE, TOLERANCE, SEED = 0.8, 0.8, 3, 1e-4, 17
 MET = 1e-3
+#: So many cells are raked by one task, in arrays; more stay in tables, and a sweep is three joins there.
+HELD_CELLS = 1 << 20
 DIMS = ("source", "lang", "topic")
 
 
@@ -77,29 +80,67 @@ def target_table(cells: DataFrame, dim: str, targets: dict[str, float] | None, t
     return raw.select(dim, (F.col("raw") / total).alias("goal"))
 
 
+def _sweeps(total: float, tolerance: float):  # noqa: ANN202
+    """All sweeps over cells (source, lang, topic, tokens, goal_<dim>) that one task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        cells = pa.Table.from_batches(held).combine_chunks()
+        tokens = cells["tokens"].to_numpy().astype(float)
+        codes = [cells[dim].combine_chunks().dictionary_encode("encode").indices.to_numpy() for dim in DIMS]
+        goals = [np.zeros(code.max() + 1) for code in codes]
+        for dim, code, goal in zip(DIMS, codes, goals, strict=True):
+            goal[code] = cells[f"goal_{dim}"].to_numpy()
+        factor, least, idle = np.full(len(tokens), 1.0 / max(total, 1)), float("inf"), 0
+        while True:
+            most = 0.0
+            for code, goal in zip(codes, goals, strict=True):
+                sums = np.bincount(code, tokens * factor)
+                ratio = np.divide(goal, sums, out=np.zeros(len(goal)), where=sums > 0)
+                most = max(most, np.abs(ratio - 1).max(initial=0.0, where=goal > 0))
+                factor *= ratio[code]
+            idle = 0 if most < 0.99 * least else idle + 1
+            least = min(least, most)
+            if most < tolerance or idle >= PATIENCE:
+                break
+        for batch in cells.select([*DIMS, "tokens"]).append_column("factor", pa.array(factor)).to_batches(max_chunksize=1 << 16):
+            yield batch
+
+    return run
+
+
 def rake(cells: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with `factor`, such that tokens * factor has the goals' marginals."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    total = total or 0
+    if n <= HELD_CELLS:
+        state = cells.select(*DIMS, "tokens")
+        for dim in DIMS:
+            state = state.join(goals[dim].withColumnRenamed("goal", f"goal_{dim}"), dim, "left").fillna(0.0, [f"goal_{dim}"])
+        state = state.select(*DIMS, "tokens", *(f"goal_{dim}" for dim in DIMS)).coalesce(1)
+        return scratch.stash(state.mapInArrow(_sweeps(total, tolerance), "source string, lang string, topic string, tokens long, factor double"), "raked")
     state = cells.withColumn("factor", F.lit(1.0 / max(total, 1)))
-    sweep, least, idle = 0, float("inf"), 0
+    step, least, idle = 0, float("inf"), 0
     while True:
         state = state.withColumn("off", F.lit(0.0))
-        for dim in DIMS:
+        for dim in DIMS:  # each on a table: joined to its own sums, a plan of three would read the cells eight times
             sums = state.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("factor")).alias("sum"))
             goal = F.coalesce(F.col("goal"), F.lit(0.0))
             ratio = F.when(F.col("sum") > 0, goal / F.col("sum")).otherwise(0.0)
             change = sums.join(goals[dim], dim, "left").select(dim, ratio.alias("ratio"), F.when(goal > 0, F.abs(ratio - 1)).otherwise(0.0).alias("miss"))
             state = state.join(change, dim).withColumn("factor", F.col("factor") * F.col("ratio")).withColumn("off", F.greatest("off", "miss")).drop("ratio", "miss")
-        state = scratch.stash(state, f"sweep{sweep}")
+            state = scratch.stash(state, f"step{step}")
+            if step:
+                scratch.drop(f"step{step - 1}")
+            step += 1
         most = state.agg(F.max("off")).first()[0] or 0.0
-        if sweep:
-            scratch.drop(f"sweep{sweep - 1}")
         state = state.drop("off")
         idle = 0 if most < 0.99 * least else idle + 1
         least = min(least, most)
         if most < tolerance or idle >= PATIENCE:
             return state
-        sweep += 1
 
 
 def scale_for(cells: DataFrame, keep: float) -> float | None:

@@ -96,3 +96,22 @@ def test_targets_out_of_reach_are_reported(spark):
     tied = spark.createDataFrame([(k, "some words here", ["en", "de"][k % 2], ["a", "b"][k % 2]) for k in range(100)], "doc_id long, text string, lang string, source string")
     rows = mixing.probabilities(tied, targets={"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.1, "b": 0.9}}).collect()
     assert not any(r.calibrated for r in rows) and min(r.miss for r in rows) > 0.1
+
+
+def test_raking_takes_no_job_for_a_sweep_and_tables_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(0, 9)) * 10**a) for a in range(5) for b in range(4) for c in range(3) if (a + b + c) % 4], "source string, lang string, topic string, tokens long")
+    tables = {d: mixing.target_table(cells, d, {"l0": 0.7, "l1": 0.2, "zz": 0.1} if d == "lang" else None, 0.5) for d in mixing.DIMS}
+
+    def raked(group, cells=cells):
+        spark.sparkContext.setJobGroup(group, group)
+        out = {tuple(r[d] for d in mixing.DIMS): r.factor for r in mixing.rake(cells, tables, Scratch(spark, "t")).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    held, jobs = raked("held-cells")
+    assert jobs < 15 and raked("no-cells", cells.limit(0))[0] == {}
+    monkeypatch.setattr(mixing, "HELD_CELLS", 0)
+    wide, more = raked("wide-cells")
+    assert more > jobs and held.keys() == wide.keys() and len(held) == cells.count()
+    assert all(abs(held[k] - wide[k]) <= 1e-9 * wide[k] for k in wide) and any(f == 0 for f in held.values())
