@@ -6,18 +6,18 @@ a text's ids are its words' ids in order. END is appended to every document.
 
 Coding: every id is coded by the range coder, from predictions of three orders. A segment's ids are numbered by falling frequency.
   order 2   the id that last followed the two ids before (hashed slots with a confidence);
-  order 1   the id that last followed the id before (likewise), and the id's AHEAD most frequent successors in the segment;
-  order 0   frequencies of all ids, which grow with the ids coded.
-The candidates of orders 2 and 1 come one after another, without repetition. A candidate's share is mixed, by an adaptive weight,
-from the adaptive hit rate of its own order (by confidence) and that of the order below: order 1's if it names the
-same id, else that of the id's order-0 frequency class. What the candidates leave is shared out by order 0. All is integer arithmetic, so any
-machine decodes alike. A block starts from the segment's starting state (order-0 frequencies and successors), with its own
-coder, and the blocks of a segment advance together as lanes of numpy arrays.
+  order 1   the ids that follow the id before at least LEAST_COUNT times in the segment, by how often they do;
+  order 0   all ids, by how often no pair of order 1 foretells them.
+Order 2's share is mixed, by an adaptive weight, from the adaptive hit rates of its candidates by confidence and by order-0 frequency;
+order 1's share of what is left from the part of an id's successors that the segment knows and an adaptive hit rate by how often
+it knows them. What both leave is shared out by order 0. Rates, weights and slots adapt within a block. All is integer arithmetic (divisions
+in double precision are exact here), so any machine decodes alike. A block starts from the segment's starting state (counts and
+pairs), with its own coder, and the blocks of a segment advance together as lanes of numpy arrays.
 
 Format: a segment is one binary value, whole documents in ascending doc_id order:
-  "QTB2", then little-endian uint64 documents, ids, blocks, ids of a block, END; zlib parts, each behind its uint64 length and
-  its uint32 crc32: int64 doc_ids, uint8 null flags, int64 ids per document, and the starting state: uint32 ids by falling
-  frequency, uint32 starting frequencies, uint32 successors (AHEAD for each id: 24 bits number, 3 bits confidence); per
+  "QTB3", then little-endian uint64 documents, ids, blocks, ids of a block, END; zlib parts, each behind its uint64 length and
+  its uint32 crc32: int64 doc_ids, uint8 null flags, int64 ids per document, and the starting state, as uint32 in planes of bytes: ids by
+  falling frequency, order-0 counts, numbers of successors, successors as steps from the one before, counts of the pairs; per
   block uint32 bytes, crc32 of the bytes, crc32 of the ids; the blocks' bytes: the coder's 16-bit words.
 Segments lie in Parquet with (shard, segment) as their order. A reader checks all checksums.
 
@@ -28,8 +28,11 @@ A document may be longer than a segment's aim; it is never cut. An empty table w
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -47,259 +50,299 @@ END = 1
 SEGMENT = 1 << 22
 #: Ids of a block: a power of two that makes about LANES blocks, within these limits.
 BLOCKS, LANES = (1024, 4096), 2048
-#: Hashed slots of orders 1 and 2 in a block, successors of an id in the starting state, and the least count of one.
-SLOTS1, SLOTS2, AHEAD, LEAST_COUNT = 1024, 1024, 1, 4
-#: Order 0: sum of the starting frequencies, what an id coded adds, ids between two sums (times the ids / 2048), and the scale.
-START, STEP, REFRESH, SCALE = 1 << 16, 384, 256, 18
-#: Cells of order-0 sums that are held at once; more blocks are coded in turns.
+#: Hashed slots of order 2 in a block, the least count of a pair of ids that order 1 knows, and the most successors of an id.
+SLOTS, LEAST_COUNT = 1024, 4
+#: Slots of order 2 that are held at once; more blocks are coded in turns.
 CELLS = 1 << 22
-#: The coder's intervals are parts of 1 << WHOLE; order 0 keeps 1 << SCALE of them at least.
-WHOLE = 24
+#: The coder's intervals are parts of 1 << WHOLE; the orders share 1 << PARTS of them, order 1 has 1 << ROW and order 0 1 << SCALE.
+WHOLE, PARTS, ROW, SCALE = 24, 10, 14, 18
 NONE = (1 << 24) - 1
+LOW, HIGH2, HIGH = np.int32(64), np.int32(63488), np.int32(65472)
 MOST_IDS = 1 << (SCALE - 1)
-#: A reader looks for an id among every COARSEth sum first.
-COARSE = 64
-STAGES = 2 + AHEAD
-TOP = np.uint64((1 << 48) - 1)
-TIGHT, CARRY = np.uint64(1 << 28), np.uint64(1 << 32)
-MAGIC = b"QTB2"
+MOST_NEXT = 1 << (ROW - 1)
+#: Pairs of so few ids are found in a table, others by a search.
+DENSE = 1 << 25
+TIGHT = 1 << 32
+MAGIC = b"QTB3"
 #: Joins distinct words for the library; a special token, whose id then marks the borders.
 GLUE = "<|startoftext|>"
 
 
+def shared_out(counts: np.ndarray, first: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, width) of entries in their row's 1 << scale, by counts but one at least; first: each entry's row's first entry."""
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    rows = np.append(np.flatnonzero(first == np.arange(len(first))), len(first))
+    sizes = np.diff(rows)
+    total, extra = np.repeat(ends[rows[1:]] - ends[rows[:-1]], sizes), np.repeat((1 << scale) - sizes, sizes)
+    place = np.arange(len(first)) - first
+    begin, end = ((n + (ends[at] - ends[first]) * extra // np.maximum(total, 1)) for n, at in ((place, first + place), (place + 1, first + place + 1)))
+    return begin.astype(np.int32), (end - begin).astype(np.int32)
+
+
 class Start:
-    """A segment's starting state: ids by falling frequency, frequencies, successors packed with a confidence."""
+    """A segment's starting state: ids by falling frequency, counts for order 0, and the pairs of order 1.
+
+    `ahead` has a column for each pair, by id and successor: id * distinct ids + successor, and how often it was seen.
+    `counts` are of ids that no pair foretells.
+    """
 
     def __init__(self, symbols: np.ndarray, counts: np.ndarray, ahead: np.ndarray):
         if len(symbols) > MOST_IDS:
             raise ValueError(f"more than {MOST_IDS} distinct ids in a segment")
-        self.symbols, self.counts = symbols, counts.astype(np.int32)
-        self.ahead = np.concatenate([ahead, np.full((AHEAD, 1), NONE)], axis=1).astype(np.int32)  # a block's first id has none
-        self.bucket = np.append(np.minimum(np.log2(np.arange(len(symbols)) + 1.0).astype(np.int32), 15), [0]).astype(np.int32)
+        self.symbols, self.counts, self.d = symbols, counts.astype(np.int64), len(symbols)
+        self.pairs, seen = ahead.astype(np.int64)
+        self.ahead = np.concatenate([ahead, np.full((2, 1), NONE)], axis=1).astype(np.int64)  # a block's first id has no pair
+        self.begin0, self.width0 = shared_out(self.counts, np.zeros(self.d, np.int64), SCALE)
+        row, none = self.pairs // self.d, np.int32(self.d)
+        self.next = np.append((self.pairs % self.d).astype(np.int32), none)
+        begin, width = shared_out(seen, np.searchsorted(row, row, "left"), ROW)
+        self.begin1, self.width1 = np.append(begin, np.int32(1 << ROW)), np.append(width, np.int32(0))  # last: what no pair foretells
+        known = np.bincount(row, seen, self.d).astype(np.int64)
+        missed = self.counts * known.sum() // max(1, int(self.counts.sum()))
+        self.mass = np.append(np.clip(65535 * known // (known + missed // 8 + 1), LOW, HIGH), LOW).astype(np.int32)
+        self.level = np.append(np.minimum(np.log2(known + 1.0).astype(np.int32), 15), np.int32(0))
+        self.bucket = np.append(np.minimum(np.log2(np.arange(self.d) + 1.0).astype(np.int32), 15), np.int32(16))
+        self.guide(row)
+
+    def guide(self, row: np.ndarray) -> None:
+        """For each id 1, 2, 4... cells, two for a pair at least, that name the pair at their begin."""
+        size = np.bincount(row, minlength=self.d + 1)
+        bits = np.minimum(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) + 1, ROW)
+        cells = np.where(size > 0, 1 << bits, 1)
+        self.shift = np.where(size > 0, ROW - bits, ROW).astype(np.int32)
+        self.cell = np.cumsum(cells) - cells
+        owner = np.repeat(np.arange(self.d + 1), cells)
+        at = (owner << ROW) + (np.arange(len(owner)) - self.cell[owner] << self.shift[owner].astype(np.int64))
+        self.cells = np.searchsorted((row << ROW) + self.begin1[:-1], at, "right") - 1
+        self.ends = np.append(self.begin1[:-1] + self.width1[:-1], np.int32(1 << ROW))
+
+    def pair_at(self, x1: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The pairs of the ids x1 that hold these parts of 1 << ROW."""
+        pair = self.cells.take(self.cell.take(x1) + (inside >> self.shift.take(x1)))
+        more = np.flatnonzero(self.ends.take(pair) <= inside)
+        while len(more):
+            pair[more] = at = pair.take(more) + 1
+            more = more[self.ends.take(at) <= inside.take(more)]
+        return pair
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Start, np.ndarray]:
         """(the state, the ids' numbers)."""
-        found, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        if len(ids) and int(ids.max()) < DENSE:
+            all_counts = np.bincount(ids)
+            found = np.flatnonzero(all_counts)
+            counts, place = all_counts[found], np.zeros(len(all_counts), np.int32)
+            place[found] = np.arange(len(found))
+            back = place[ids]
+        else:
+            found, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        if len(found) > MOST_IDS:
+            raise ValueError(f"more than {MOST_IDS} distinct ids in a segment")
         order = np.argsort(-counts, kind="stable")
-        number = np.empty(len(found), np.int64)
+        number = np.empty(len(found), np.int32)
         number[order] = np.arange(len(found))
         x, d = number[back], len(found)
-        pair, seen = np.unique(x[:-1] * d + x[1:], return_counts=True) if len(x) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        pair, seen = pair[seen >= LEAST_COUNT], seen[seen >= LEAST_COUNT]
-        by = np.lexsort((pair, -seen, pair // d))
-        pair, seen = pair[by], seen[by]
-        place = np.arange(len(pair)) - np.searchsorted(pair // d, pair // d, "left")
-        share = seen / np.maximum(counts[order], 1)[pair // d]
-        packed = pair % d | np.clip(np.round(8 * np.sqrt(share)), 1, 7).astype(np.int64) << 24
-        ahead = np.full((AHEAD, d), NONE, np.int64)
-        first = place < AHEAD
-        ahead[place[first], (pair // d)[first]] = packed[first]
-        return cls(found[order], np.maximum(counts[order] * START // max(1, len(ids)), 1), ahead), x.astype(np.int32)
+        both = x[:-1].astype(np.int64) * d + x[1:]
+        if d * d <= DENSE:
+            table = np.bincount(both, minlength=1)
+            pair = np.flatnonzero(table >= LEAST_COUNT)
+            seen = table[pair]
+        else:
+            pair, seen = np.unique(both, return_counts=True)
+            pair, seen = pair[seen >= LEAST_COUNT], seen[seen >= LEAST_COUNT]
+        row = pair // d
+        by = np.lexsort((pair, -seen, row))
+        keep = np.sort(by[np.arange(len(pair)) - np.searchsorted(row, row, "left") < MOST_NEXT])
+        pair, seen = pair[keep], seen[keep]
+        foretold = np.bincount(pair % d, seen, d).astype(np.int64)
+        return cls(found[order], counts[order] - foretold, np.stack([pair, seen])), x
+
+    @classmethod
+    def from_parts(cls, symbols: np.ndarray, counts: np.ndarray, sizes: np.ndarray, steps: np.ndarray, seen: np.ndarray) -> Start:
+        d, at = len(symbols), np.cumsum(sizes) - sizes
+        steps = steps.astype(np.int64)
+        ends = np.cumsum(steps)
+        before = np.concatenate([[0], ends])[at]
+        row = np.repeat(np.arange(d), sizes)
+        return cls(symbols, counts, np.stack([row * d + ends - before[row], seen.astype(np.int64)]))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.symbols.astype("<u4"), self.counts.astype("<u4"), self.ahead[:, :-1].astype("<u4").ravel()]
+        row = self.pairs // self.d
+        steps = np.diff(self.next[:-1], prepend=0)
+        fresh = np.diff(row, prepend=-1) > 0
+        steps[fresh] = self.next[:-1][fresh]
+        return [self.symbols, self.counts, np.bincount(row, minlength=self.d), steps, self.ahead[1, :-1]]
+
+    def pair_of(self, x1: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The pairs' places; one beyond the last if order 1 does not know them."""
+        both, none = x1.astype(np.int64) * self.d + x, len(self.pairs)
+        if (self.d + 1) * self.d <= DENSE:
+            table = np.full((self.d + 1) * self.d, none, np.int32)
+            table[self.pairs] = np.arange(none)
+            return table[both]
+        at = np.searchsorted(self.pairs, both)
+        return np.where(np.append(self.pairs, -1)[at] == both, at, none).astype(np.int32)
 
 
 class Model:
-    """Predictions for all lanes, in flat tables; every method works on the first n lanes.
+    """Shares of the orders for all lanes, in flat tables; every method works on the first n lanes.
 
-    The candidates are, by row: order 2, order 1, and AHEAD successors of the starting state. Row j of `rest` is what
-    is left of the whole before candidate j, the last row what order 0 shares out.
+    Of 1 << PARTS parts, the candidate of order 2 has `a` and order 1 has `b`; order 0 has the rest. A slot of order 2 packs an
+    id with a confidence from 1 to 8; an empty one holds no id, at 0. Rates stay between LOW and HIGH, so that no share is empty.
     """
 
     def __init__(self, lanes: int, start: Start):
-        self.start, self.lanes, self.d = start, lanes, len(start.symbols)
+        self.start, self.lanes = start, np.int32(lanes)
         self.lane = lane = np.arange(lanes)
-        self.slot1, self.slot2 = lane * SLOTS1, lane * SLOTS2
-        self.next1, self.next2 = np.full(lanes * SLOTS1, NONE, np.int32), np.full(lanes * SLOTS2, NONE, np.int32)
-        stage = np.arange(STAGES)[:, None]
-        self.state, self.klass = stage * (16 * lanes) + lane, stage * (24 * lanes) + lane
-        first = np.repeat(np.array([[6000, 14000, 24000, 32000, 40000, 46000, 52000, 56000]] * 2 + [[500, 1000, 4000, 9000, 16000, 25000, 36000, 50000]] * AHEAD), 2, axis=1)
-        self.rate = np.repeat(first.ravel(), lanes).astype(np.int32)
-        self.rate0 = np.full(STAGES * 24 * lanes, 10000, np.int32)
-        self.weight = np.full((STAGES, lanes), 49152, np.int32)
-        self.counts = np.tile(start.counts, (lanes, 1))
-        self.sums = np.zeros((lanes, self.d + 1), np.int32)
-        self.row = lane * (self.d + 1)
-        self.x1, self.x2 = (np.full(lanes, self.d, np.int64) for _ in range(2))
-        self.every = REFRESH * max(1, self.d // 2048)
-
-    def refresh(self, t: int) -> None:
-        if t % self.every == 0:
-            sums = np.cumsum(self.counts, axis=1, dtype=np.int64)
-            sums *= (((1 << SCALE) - self.d) << 20) // sums[:, -1:]
-            sums >>= 20
-            sums += np.arange(1, self.d + 1)
-            self.sums[:, 1:] = sums
-            self.coarse = self.sums[:, COARSE::COARSE].copy()
+        self.slot = lane * SLOTS
+        self.next2 = np.full(lanes * SLOTS, start.d, np.int32)
+        self.rate = np.repeat(np.array([LOW, 6000, 14000, 24000, 32000, 40000, 46000, 52000, 56000], np.int32), lanes)
+        self.rate0, self.rate1 = (np.full(17 * lanes, r, np.int32) for r in (10000, 60000))
+        self.rate0[16 * lanes :] = self.rate1[:lanes] = LOW  # no id, and ids without successors
+        self.weight, self.weight1 = np.full(lanes, 49152, np.int32), np.full(lanes, 32768, np.int32)
+        self.x1, self.x2 = (np.full(lanes, start.d, np.int32) for _ in range(2))
 
     def predict(self, n: int) -> None:
-        x1 = self.x1[:n]
-        self.at1 = (x1 * 40503 >> 3 & SLOTS1 - 1) + self.slot1[:n]
-        self.at2 = ((x1 * 31153 ^ self.x2[:n] * 58789) >> 4 & SLOTS2 - 1) + self.slot2[:n]
-        packed = np.empty((STAGES, n), np.int32)
-        self.next2.take(self.at2, out=packed[0], mode="clip")
-        self.next1.take(self.at1, out=packed[1], mode="clip")
-        self.start.ahead.take(x1, axis=1, out=packed[2:], mode="clip")
-        self.c = c = packed & NONE
-        self.k = k = packed >> 24
-        same = np.zeros((STAGES, n), bool)
-        np.equal(c[:-1], c[1:], out=same[:-1])
-        self.ok = ok = c != NONE
-        ok[1:] &= ~same[:-1]
-        ok[2:] &= c[2:] != c[0]
-        context = (k << 1) + same
-        self.i = context * np.int64(self.lanes) + self.state[:, :n]
-        lower = self.start.bucket.take(c, mode="clip")  # of order 0, or of the next order, if it names the same id
-        lower[:-1] = np.where(same[:-1], k[1:] + 16, lower[:-1])
-        self.i0 = lower * np.int64(self.lanes) + self.klass[:, :n]
-        self.q, self.q0 = self.rate.take(self.i), self.rate0.take(self.i0)
-        share = self.q0 + ((self.weight[:, :n] >> 2) * (self.q - self.q0 >> 2) >> 12)
-        left = 256 - (np.maximum(np.minimum(share, 64000), 512) >> 8) * ok
-        self.rest = rest = np.empty((STAGES + 1, n), np.int32)
-        rest[0] = 1 << WHOLE
-        for j in range(STAGES):
-            np.maximum((rest[j] >> 8) * left[j], 1 << SCALE, out=rest[j + 1])
-        ok &= rest[:-1] > rest[1:]  # no share is left where order 0 has its least already
-
-    def interval(self, x: np.ndarray, stage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of ids found by the given stages; STAGES is order 0."""
-        n = len(x)
-        at = stage * n + self.lane[:n]
-        begin = self.rest.reshape(-1).take(at).astype(np.int64)
-        end = self.rest.reshape(-1).take(at + n, mode="clip")
-        hit = stage < STAGES
-        at = self.row[:n] + x
-        sums = self.sums.reshape(-1)
-        low, high = begin * sums.take(at) >> SCALE, begin * sums.take(at + 1) >> SCALE
-        return (1 << WHOLE) - begin + np.where(hit, 0, low), np.where(hit, begin - end, high - low)
-
-    def stage_of(self, x: np.ndarray) -> np.ndarray:
-        """The first candidate that is x; STAGES if none is."""
-        stage = np.full(len(x), STAGES)
-        for j in range(STAGES - 1, -1, -1):
-            stage[(self.c[j] == x) & self.ok[j]] = j
-        return stage
-
-    def found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, stages) whose intervals hold the values."""
-        n = len(value)
-        stage = (value >= (1 << WHOLE) - self.rest[1:]).sum(axis=0)
-        x = self.c.reshape(-1).take(stage * n + self.lane[:n], mode="clip").astype(np.int64)
-        miss = np.flatnonzero(stage == STAGES)
-        last = self.rest[STAGES].take(miss).astype(np.int64)
-        bound = ((value.take(miss) - (1 << WHOLE) + last + 1 << SCALE) - 1) // last
-        part = self.coarse.take(miss, axis=0) <= bound[:, None]
-        row, step = self.row.take(miss), COARSE >> 1
-        at = np.add.reduce(part, axis=1, dtype=np.int64) * COARSE
-        at += row
-        end, sums = row + self.d, self.sums.reshape(-1)
-        while step:  # all ids up to a step's end, or none
-            ahead = np.minimum(at + step, end)
-            at = np.where(sums.take(ahead) <= bound, ahead, at)
-            step >>= 1
-        x[miss] = np.minimum(at - row, self.d - 1)
-        return x, stage
-
-    def update(self, x: np.ndarray, stage: np.ndarray) -> None:
-        n = len(x)
-        tried = self.ok & (np.arange(STAGES)[:, None] <= stage)
-        hits = self.c == x
-        goal = hits * np.int32(65535)
-        off, off0 = goal - self.q, goal - self.q0
-        self.rate[self.i] = self.q + (off >> 5) * tried
-        self.rate0[self.i0] = self.q0 + (off0 >> 6) * tried
-        weight = self.weight[:, :n]
-        weight += (np.abs(off0) - np.abs(off) >> 6) * tried
+        x1, lane, start = self.x1[:n], self.lane[:n], self.start
+        self.at = ((x1 * np.int32(31153) ^ self.x2[:n] * np.int32(58789)) >> 4 & SLOTS - 1) + self.slot[:n]
+        packed = self.next2.take(self.at)
+        self.c, self.k = c, k = packed & NONE, packed >> 24
+        self.i, self.i0 = k * self.lanes + lane, start.bucket.take(c) * self.lanes + lane
+        self.q, self.q0 = q, q0 = self.rate.take(self.i), self.rate0.take(self.i0)
+        share = q0 + ((self.weight[:n] >> 2) * (q - q0 >> 2) >> 12)
+        self.a = np.maximum(share >> 6, 1)
+        self.m = m = start.mass.take(x1)
+        self.i1 = start.level.take(x1) * self.lanes + lane
+        self.q1 = q1 = self.rate1.take(self.i1)
+        share = m + ((self.weight1[:n] >> 2) * (q1 - m >> 2) >> 12)
+        self.b = np.maximum(((1 << PARTS) - self.a) * (share >> 6) >> PARTS, 1)
+
+    def interval(self, hit: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of the candidate where it hits, of all that order 0 shares out in lanes `rest`, else of the pairs."""
+        first = self.a << ROW
+        width = np.where(hit, first, self.start.width1.take(pair) * self.b)
+        width[rest] = (1 << PARTS) - self.a[rest] - self.b[rest] << ROW
+        return np.where(hit, 0, first + self.start.begin1.take(pair) * self.b), width
+
+    def found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, hits of the candidate, pairs, lanes of order 0, whose ids are still to be found) by values in the intervals."""
+        a, b, start = self.a, self.b, self.start
+        part = value >> ROW
+        hit, rest = part < a, np.flatnonzero(part >= a + b)
+        inside = ((value - (a << ROW)) / b).astype(np.int32)  # exact: numbers under 1 << 24
+        np.minimum(np.maximum(inside, 0, out=inside), (1 << ROW) - 1, out=inside)
+        pair = start.pair_at(self.x1[: len(a)], inside)
+        pair[rest] = len(start.pairs)
+        return np.where(hit, self.c, start.next.take(pair)), hit, pair, rest
+
+    def update(self, x: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
+        n, k, q, q0, q1 = len(x), self.k, self.q, self.q0, self.q1
+        goal = np.where(hit, HIGH2, LOW)
+        off, off0 = goal - q, goal - q0
+        self.rate[self.i] = q + (off >> 5)
+        self.rate0[self.i0] = q0 + (off0 >> 6)
+        weight = self.weight[:n]
+        weight += np.abs(off0) - np.abs(off) >> 6
+        np.minimum(np.maximum(weight, 8192, out=weight), 61440, out=weight)
+        k += 1
+        self.next2[self.at] = np.where(k > 2, self.c, x) | np.where(hit, np.minimum(k, 8), np.maximum(k >> 1, 1)) << 24
+        goal = np.full(n, HIGH, np.int32)
+        goal[rest] = LOW
+        off, off0 = goal - q1, goal - self.m
+        self.rate1[self.i1] = q1 + (off >> 5)
+        weight = self.weight1[:n]
+        weight += np.abs(off0) - np.abs(off) >> 6
         np.minimum(np.maximum(weight, 8192, out=weight), 61440, out=weight)
-        hit, c, k = hits[:2], self.c[:2], self.k[:2]
-        keep = hit | (k > 0)
-        packed = np.where(keep, c, x.astype(np.int32)) | np.where(hit, np.minimum(k + 1, 7), k >> 1) << 24
-        self.next2[self.at2], self.next1[self.at1] = packed
-        self.counts.reshape(-1)[self.lane[:n] * self.d + x] += np.where(stage < STAGES, STEP // 4, STEP).astype(np.int32)
         self.x2[:n] = self.x1[:n]
         self.x1[:n] = x
 
 
-class Coder:
-    """Carry-less 48-bit range coders, one for each lane, that move 16-bit words."""
+class Writer:
+    """48-bit range coders, one for each lane, that write 16-bit words; carries are added at the end."""
 
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, TOP, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
+    def __init__(self, lanes: int, room: int):
+        self.lanes, self.low, self.range = lanes, np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
+        self.out, self.at = np.zeros(lanes * room, np.uint32), np.arange(lanes)
 
     def narrow(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
         """The first n lanes go on to [start, start + width) of 1 << WHOLE."""
-        unit = self.range[:n] >> np.uint64(WHOLE)
-        low = self.low[:n]
-        low += unit * start.view(np.uint64)
-        size = np.multiply(unit, width.view(np.uint64), out=self.range[:n])
-        settled = (low ^ (low + size)) < CARRY
-        lanes = np.flatnonzero(settled | (size < TIGHT))
-        low, size, settled = low[lanes], size[lanes], settled[lanes]
+        unit = self.range[:n] >> WHOLE
+        self.low[:n] += unit * start
+        np.multiply(unit, width, out=self.range[:n])
+        self.renew(np.flatnonzero(self.range[:n] < TIGHT))
+
+    def narrow_some(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """The given lanes go on to [start, start + width) of 1 << SCALE."""
+        unit = self.range[lanes] >> SCALE
+        self.low[lanes] += unit * start
+        size = self.range[lanes] = unit * width
+        self.renew(lanes[size < TIGHT])
+
+    def renew(self, lanes: np.ndarray) -> None:
         while len(lanes):
-            if not settled.all():  # the interval is cut at the next border
-                size = np.where(settled, size, (~low + np.uint64(1)) & (TIGHT - np.uint64(1)))
-            self.word(lanes, low)
-            low = (low << np.uint64(16)) & TOP
-            size = size << np.uint64(16)
-            self.low[lanes], self.range[lanes] = low, size
-            settled = (low ^ (low + size)) < CARRY
-            again = np.flatnonzero(settled | (size < TIGHT))
-            lanes, low, size, settled = lanes[again], low[again], size[again], settled[again]
-
-
-class Writer(Coder):
-    def __init__(self, lanes: int, room: int):
-        super().__init__(lanes)
-        self.out = np.zeros(lanes * room, np.uint16)
-        self.first = np.arange(lanes) * room
-        self.at += self.first
-
-    def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = self.at.take(lanes)
-        self.out[at] = low >> np.uint64(32)
-        self.at[lanes] = at + 1
+            low, at = self.low.take(lanes), self.at.take(lanes)
+            self.out[at] = low >> 32
+            self.at[lanes] = at + self.lanes
+            self.low[lanes] = (low & TIGHT - 1) << 16
+            size = self.range[lanes] = self.range.take(lanes) << 16
+            lanes = lanes[size < TIGHT]
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for shift in (0, 16, 32):
-            self.word(every, (self.low << np.uint64(shift)) & TOP)
-        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.first.tolist(), self.at.tolist(), strict=True)]
+        """One more word, such that any words may follow."""
+        self.out[self.at] = (self.low + TIGHT - 1) >> 32
+        words = self.at // self.lanes + 1
+        table = self.out.reshape(-1, self.lanes)[: int(words.max())]
+        for j in range(len(table) - 1, 0, -1):
+            table[j - 1] += table[j] >> 16
+        rows = np.ascontiguousarray(table.T.astype("<u2"))
+        return [rows[k, :n].tobytes() for k, n in enumerate(words.tolist())]
 
 
-class Reader(Coder):
+class Reader:
     def __init__(self, blocks: list[bytes]):
-        super().__init__(len(blocks))
-        room = max(len(b) for b in blocks) // 2 + 8
-        words = np.zeros((len(blocks), room), np.uint16)
+        self.lanes = lanes = len(blocks)
+        words = np.zeros((lanes, max(len(b) for b in blocks) // 2 + 8), "<u2")
         for k, b in enumerate(blocks):
             words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.code = np.zeros(len(blocks), np.uint64)
-        for k in range(3):
-            self.code = (self.code << np.uint64(16)) | words[:, k]
-        self.words = words.reshape(-1)
-        self.at += np.arange(len(blocks)) * room + 3
-
-    def word(self, lanes: np.ndarray, low: np.ndarray) -> None:  # noqa: ARG002
-        at = self.at.take(lanes)
-        self.code[lanes] = ((self.code.take(lanes) << np.uint64(16)) & TOP) | self.words.take(at)
-        self.at[lanes] = at + 1
+        self.words = np.ascontiguousarray(words.T).astype(np.uint16).reshape(-1)
+        first = self.words[: 3 * lanes].reshape(3, lanes).astype(np.int64)
+        self.code, self.range = first[0] << 32 | first[1] << 16 | first[2], np.full(lanes, (1 << 48) - 1, np.int64)
+        self.at = np.arange(lanes) + 3 * lanes
 
     def value(self, n: int) -> np.ndarray:
-        unit = self.range[:n] >> np.uint64(WHOLE)
-        return np.minimum((self.code[:n] - self.low[:n]) // unit, np.uint64((1 << WHOLE) - 1)).view(np.int64)
+        self.unit = self.range[:n] >> WHOLE
+        return np.minimum((self.code[:n] / self.unit).astype(np.int32), (1 << WHOLE) - 1)  # exact: a part of a unit is over 2 ** -53 of it
+
+    def value_some(self, lanes: np.ndarray) -> np.ndarray:
+        return np.minimum(self.code[lanes] // (self.range[lanes] >> SCALE), (1 << SCALE) - 1)
+
+    def narrow(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
+        self.code[:n] -= self.unit * start
+        np.multiply(self.unit, width, out=self.range[:n])
+        self.renew(np.flatnonzero(self.range[:n] < TIGHT))
+
+    def narrow_some(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        unit = self.range[lanes] >> SCALE
+        self.code[lanes] -= unit * start
+        size = self.range[lanes] = unit * width
+        self.renew(lanes[size < TIGHT])
+
+    def renew(self, lanes: np.ndarray) -> None:
+        while len(lanes):
+            at = self.at.take(lanes)
+            self.code[lanes] = self.code.take(lanes) << 16 | self.words.take(at)
+            self.at[lanes] = at + self.lanes
+            size = self.range[lanes] = self.range.take(lanes) << 16
+            lanes = lanes[size < TIGHT]
 
 
 def block_size(n_ids: int) -> int:
     return int(np.clip(1 << max(0, (n_ids // LANES).bit_length()), *BLOCKS))
 
 
-def turns(lanes: int, start: Start) -> Iterator[tuple[int, int]]:
+def turns(lanes: int) -> Iterator[tuple[int, int]]:
     """Blocks that are coded together."""
-    step = max(1, CELLS // (len(start.symbols) + 1))
+    step = max(1, CELLS // SLOTS)
     for first in range(0, lanes, step):
         yield first, min(first + step, lanes)
 
@@ -307,21 +350,25 @@ def turns(lanes: int, start: Start) -> Iterator[tuple[int, int]]:
 def encode_blocks(x: np.ndarray, start: Start, block: int) -> list[bytes]:
     """The bytes of the blocks of a segment's numbers."""
     lanes, out = -(-len(x) // block), []
-    for first, last in turns(lanes, start):
-        part = x[first * block : last * block]
-        n_lanes = last - first
-        padded = np.zeros(n_lanes * block, np.int32)
-        padded[: len(part)] = part
-        columns = np.ascontiguousarray(padded.reshape(n_lanes, block).T)
+    before = np.concatenate([[start.d], x[:-1]])
+    before[::block] = start.d
+    pairs = start.pair_of(before, x)
+    for first, last in turns(lanes):
+        size, n_lanes = min(len(x), last * block) - first * block, last - first
+        columns = np.zeros((2, n_lanes * block), np.int32)
+        columns[:, :size] = x[first * block : first * block + size], pairs[first * block : first * block + size]
+        columns = np.ascontiguousarray(columns.reshape(2, n_lanes, block).transpose(0, 2, 1))
         model, coder = Model(n_lanes, start), Writer(n_lanes, 3 * block + 16)
-        for t in range(min(block, len(part))):
-            model.refresh(t)
-            n = n_lanes if (n_lanes - 1) * block + t < len(part) else n_lanes - 1
-            now = columns[t, :n]
+        for t in range(min(block, size)):
+            n = n_lanes if (n_lanes - 1) * block + t < size else n_lanes - 1
+            now, pair = columns[0, t, :n], columns[1, t, :n]
             model.predict(n)
-            stage = model.stage_of(now)
-            coder.narrow(n, *model.interval(now, stage))
-            model.update(now, stage)
+            hit = model.c == now
+            rest = np.flatnonzero((pair == len(start.pairs)) & ~hit)
+            coder.narrow(n, *model.interval(hit, pair, rest))
+            if len(rest):
+                coder.narrow_some(rest, start.begin0.take(now[rest]), start.width0.take(now[rest]))
+            model.update(now, hit, rest)
         out += coder.finish()
     return out
 
@@ -329,28 +376,39 @@ def encode_blocks(x: np.ndarray, start: Start, block: int) -> list[bytes]:
 def decode_blocks(blocks: list[bytes], n_ids: int, start: Start, block: int) -> np.ndarray:
     """The numbers of a segment."""
     out = [np.zeros(0, np.int32)]
-    for first, last in turns(len(blocks), start):
+    for first, last in turns(len(blocks)):
         n_lanes, size = last - first, min(n_ids, last * block) - first * block
         columns = np.zeros((block, n_lanes), np.int32)
         model, coder = Model(n_lanes, start), Reader(blocks[first:last])
         for t in range(min(block, size)):
-            model.refresh(t)
             n = n_lanes if (n_lanes - 1) * block + t < size else n_lanes - 1
             model.predict(n)
-            x, stage = model.found(coder.value(n))
-            coder.narrow(n, *model.interval(x, stage))
-            model.update(x, stage)
+            x, hit, pair, rest = model.found(coder.value(n))
+            coder.narrow(n, *model.interval(hit, pair, rest))
+            if len(rest):
+                x[rest] = some = start.begin0.searchsorted(coder.value_some(rest), "right") - 1
+                coder.narrow_some(rest, start.begin0.take(some), start.width0.take(some))
+            model.update(x, hit, rest)
             columns[t, :n] = x
         out.append(np.ascontiguousarray(columns.T).reshape(-1)[:size])
     return np.concatenate(out)
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of 32-bit numbers, all lowest ones first: they compress better so."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def segment_bytes(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment of whole documents."""
     start, x = Start.of(ids)
     block = block_size(len(ids))
     blocks = encode_blocks(x, start, block)
-    head = [np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), sizes.astype("<i8"), *start.parts()]
+    head = [np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), sizes.astype("<i8"), *(planes(p) for p in start.parts())]
     out = [MAGIC, struct.pack("<5Q", len(doc_ids), len(ids), len(blocks), block, END)]
     for part in head:
         body = zlib.compress(part.tobytes(), 6)
@@ -366,12 +424,13 @@ def read_segment(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
         raise ValueError("not a token segment")
     n_docs, n_ids, n_blocks, block, _ = struct.unpack_from("<5Q", body, 4)
     at, head = 44, []
-    for kind in ("<i8", np.uint8, "<i8", "<u4", "<u4", "<u4"):
+    for kind in ("<i8", np.uint8, "<i8", *[None] * 5):
         size, crc = struct.unpack_from("<QI", body, at)
         part = body[at + 12 : at + 12 + size]
         if zlib.crc32(part) != crc:
             raise ValueError("the head of the segment is damaged")
-        head.append(np.frombuffer(zlib.decompress(part), kind))
+        raw = zlib.decompress(part)
+        head.append(from_planes(raw) if kind is None else np.frombuffer(raw, kind))
         at += 12 + size
     table = np.frombuffer(body, "<u4", 3 * n_blocks, at).reshape(-1, 3)
     at += 12 * n_blocks
@@ -380,7 +439,7 @@ def read_segment(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     for k, b in enumerate(blocks):
         if zlib.crc32(b) != table[k, 1]:
             raise ValueError(f"block {k} is damaged")
-    start = Start(head[3], head[4], head[5].reshape(AHEAD, -1))
+    start = Start.from_parts(*head[3:])
     x = decode_blocks(blocks, n_ids, start, block)
     ids = start.symbols[x].astype(np.int64)
     raw = ids.astype("<u4")
@@ -398,20 +457,34 @@ STOPS = np.zeros(256, bool)
 STOPS[list(b".,;:!?")] = True
 
 
-def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of words, cut between an ASCII letter or digit and a stop."""
-    starts, ends, doc = bw.word_spans(data, offsets)
-    if not len(starts):
-        return starts, ends, doc
-    cuts = np.flatnonzero(ALNUM[data[:-1]] & STOPS[data[1:]]) + 1
-    cuts = cuts[starts[np.searchsorted(starts, cuts, "right") - 1] < cuts]  # not across documents
-    owner = np.searchsorted(starts, cuts, "right") - 1
-    order = np.argsort(np.concatenate([starts, cuts]), kind="stable")
-    return np.concatenate([starts, cuts])[order], np.sort(np.concatenate([ends, cuts]), kind="stable"), np.concatenate([doc, doc[owner]])[order]
+#: What the short way of `WordIds` takes for granted, and lower-case letters that normalising leaves alone.
+SHORT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"},
+}
+LETTERS = re.compile("[a-z" + "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c == c.lower() == unicodedata.normalize("NFC", c)) + "]+")
+
+
+def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words, each document's first), cut between an ASCII letter or digit and a stop."""
+    solid = ~bw.IS_SPACE[data]
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1] | ALNUM[data[:-1]] & STOPS[data[1:]]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    opens[inner] = solid[inner]
+    first = np.searchsorted(np.flatnonzero(opens), offsets)
+    text = data[solid]
+    ends = np.append(np.flatnonzero(opens[solid]), len(text))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]), first
 
 
 class WordIds:
-    """Ids of words by the tokenizers library, remembered."""
+    """Ids of words by the tokenizers library, remembered.
+
+    Words of letters alone are one pre-token that normalising leaves alone: a tokenizer of the same model that splits at spaces gives
+    their ids without the search for pre-tokens, which takes most of the library's time. All others go the whole way.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -420,47 +493,62 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(definition)
         self.glue = self.tokenizer.token_to_id(GLUE)
         self.known = Remembered()
+        self.letters = None
+        parts = json.loads(definition)
+        levels = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        same = parts["normalizer"] == SHORT["normalizer"] and all(parts["model"].get(k) == v for k, v in SHORT["model"].items())
+        if same and len(levels) == 2 and levels[0] == SHORT["split"] and levels[1]["type"] == "ByteLevel" and not levels[1]["add_prefix_space"] and not levels[1]["use_regex"]:
+            parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, levels[1]]}}
+            self.letters = Tokenizer.from_str(json.dumps(parts))
+            vocabulary = self.letters.get_vocab()
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the documents of a buffer, each with END."""
         if not ((data[:-1] == 60) & (data[1:] == 124)).any():  # the library lower-cases; its special tokens, <|...|>, are matched before that
             data = bw.LOWER[data]
-        starts, ends, doc = units_of(data, offsets)
-        keys = bw.range_hash(bw.prefix_hash(data), starts, ends)
-        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        units, first = units_of(data, offsets)
+        coded = units.dictionary_encode()
+        words, place = coded.dictionary, coded.indices.to_numpy()
+        raw, borders = bw.text_buffer(words)
+        keys = bw.range_hash(bw.prefix_hash(raw), borders[:-1], borders[1:])
         if len(self.known.keys) > self.known.limit:
             self.known.clear()
-        new = self.known.missing(distinct)
+        new = self.known.missing(keys)
         if new.any():
-            raw = data.tobytes()
-            which = first[new]
-            self.known.add(distinct[new], *self.look_up([raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]))
-        begin, size = self.known.look_up(distinct)
-        n = len(offsets) - 1
-        per = np.ones(n, np.int64)
-        np.add.at(per, doc, size[place])
-        at = np.concatenate([[0], np.cumsum(per)])
+            fresh, at = np.unique(keys[new], return_index=True)
+            which = np.flatnonzero(new)[at]
+            text = raw.tobytes()
+            self.known.add(fresh, *self.look_up([text[a:b].decode() for a, b in zip(borders[which].tolist(), borders[which + 1].tolist(), strict=True)]))
+        begin, size = self.known.look_up(keys)
+        sizes = size[place]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        at = before[first] + np.arange(len(offsets))
         out = np.full(at[-1], END, np.int32)
         inner = np.ones(at[-1], bool)
         inner[at[1:] - 1] = False
-        out[inner] = self.known.ids[ragged(begin[place], size[place])]
+        out[inner] = self.known.ids[ragged(begin[place], sizes)]
         return out, at
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of words: those joined by the special token, or alone where they hold it."""
-        sizes = np.zeros(len(words), np.int64)
+        """(ids, offsets) of words: those of letters by the short way, others joined by the special token, or alone where they hold it."""
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for k, w in enumerate(words):
+            kinds[2 if GLUE in w else 0 if self.letters and LETTERS.fullmatch(w) else 1].append(k)
+        short, plain, odd = kinds
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        plain = [k for k, w in enumerate(words) if GLUE not in w]
-        odd = [k for k, w in enumerate(words) if GLUE in w]
-        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for group, coded in zip(groups, run([GLUE.join(words[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, np.int32)
-            owner = np.cumsum(ids == self.glue)
+        for group, ids in self.batches(self.letters, " ", words, short):
+            closes = self.closes[ids]
+            if closes.sum() != len(group):  # a byte is not in the vocabulary
+                plain += group
+                continue
+            parts.append((np.array(group)[np.cumsum(closes) - closes], ids))
+        for group, ids in self.batches(self.tokenizer, GLUE, words, plain):
             keep = ids != self.glue
-            parts.append((np.array(group)[owner[keep]], ids[keep]))
-        for k, coded in zip(odd, run([words[k] for k in odd], add_special_tokens=False), strict=True):
-            parts.append((np.full(len(coded.ids), k), np.array(coded.ids, np.int32)))
+            parts.append((np.array(group)[np.cumsum(~keep)[keep]], ids[keep]))
+        for group, ids in self.batches(self.tokenizer, "", words, odd, 1):
+            parts.append((np.full(len(ids), group[0]), ids))
         if not parts:
             return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
         owner, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -468,6 +556,15 @@ class WordIds:
         sizes = bw.counts_of(owner, len(words))
         return ids[order], np.concatenate([[0], np.cumsum(sizes)])
 
+    @staticmethod
+    def batches(tokenizer, glue: str, words: list[str], which: list[int], size: int = 256) -> Iterator[tuple[list[int], np.ndarray]]:  # noqa: ANN001
+        """Groups of words, each with its ids."""
+        if which:
+            groups = [which[k : k + size] for k in range(0, len(which), size)]
+            run = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+            for group, coded in zip(groups, run([glue.join(words[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+                yield group, np.array(coded.ids, np.int32)
+
 
 def _segments(definition, aim: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

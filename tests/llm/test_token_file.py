@@ -100,3 +100,28 @@ def test_too_many_distinct_ids_are_refused(monkeypatch):
     monkeypatch.setattr(tf, "MOST_IDS", 10)
     with pytest.raises(ValueError):
         tf.segment_bytes([1], np.array([11]), np.arange(11))
+
+
+def test_order_1_shares_out_several_successors():
+    rng = np.random.default_rng(7)
+    follow = rng.permuted(np.tile(np.arange(1000), (4, 1)), axis=1)  # four for each id, and nothing else to learn
+    ids, last = [], 0
+    for k in rng.integers(0, 4, 100_000):
+        ids.append(last := int(follow[k, last]))
+    ids = np.array(ids)
+    body = tf.segment_bytes([1], np.array([len(ids)]), ids)
+    assert (tf.read_segment(body)[2] == ids).all()
+    assert 8 * len(body) / len(ids) < 3.2  # 2 bits, and the segment's 4000 pairs
+
+
+def test_words_of_letters_go_the_short_way_and_get_the_same_ids():
+    with open(PATH, encoding="utf-8") as f:
+        words = tf.WordIds(f.read())
+    texts = ["plain words, été ñandú ÿ ß straße", "Ünder İI ﬁ ǆ é œuvre ÷ ª º x_y 1st it's </w> a</w>b", "ŉͅ Ÿ ſ K"]
+    data = [t.encode() for t in texts]
+    ids, at = words.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    tokenizer = library.Tokenizer.from_file(PATH)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    long_way = words.tokenizer
+    words.tokenizer = None
+    assert words.look_up(["new", "letters", "éñß"])[0].tolist() == long_way.encode("new letters éñß", add_special_tokens=False).ids
