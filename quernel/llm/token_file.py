@@ -28,11 +28,11 @@ A document may be longer than a segment's aim; it is never cut. An empty table w
 
 from __future__ import annotations
 
+import functools
 import json
+import math
 import os
-import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -47,16 +47,17 @@ from quernel.llm.pieces import Remembered, ragged
 from quernel.session import Scratch
 
 END = 1
-SEGMENT = 1 << 22
+SEGMENT = 1 << 23
 #: Ids of a block: a power of two that makes about LANES blocks, within these limits.
-BLOCKS, LANES = (1024, 4096), 2048
+BLOCKS, LANES = (1024, 4096), 4096
 #: Hashed slots of order 2 in a block, the least count of a pair of ids that order 1 knows, and the most successors of an id.
 SLOTS, LEAST_COUNT = 1024, 4
 #: Slots of order 2 that are held at once; more blocks are coded in turns.
 CELLS = 1 << 22
 #: The coder's intervals are parts of 1 << WHOLE; the orders share 1 << PARTS of them, order 1 has 1 << ROW and order 0 1 << SCALE.
 WHOLE, PARTS, ROW, SCALE = 24, 10, 14, 18
-NONE = (1 << 24) - 1
+#: A number is packed with its frequency class in a tag, a tag with a confidence in a slot, a pair's width with its begin in a spot.
+NUMBER, TAG, WIDTH = (1 << 18) - 1, (1 << 24) - 1, (1 << 16) - 1
 LOW, HIGH2, HIGH = np.int32(64), np.int32(63488), np.int32(65472)
 MOST_IDS = 1 << (SCALE - 1)
 MOST_NEXT = 1 << (ROW - 1)
@@ -91,20 +92,23 @@ class Start:
             raise ValueError(f"more than {MOST_IDS} distinct ids in a segment")
         self.symbols, self.counts, self.d = symbols, counts.astype(np.int64), len(symbols)
         self.pairs, seen = ahead.astype(np.int64)
-        self.ahead = np.concatenate([ahead, np.full((2, 1), NONE)], axis=1).astype(np.int64)  # a block's first id has no pair
+        self.ahead = np.concatenate([ahead, np.full((2, 1), -1)], axis=1).astype(np.int64)  # a block's first id has no pair
         self.begin0, self.width0 = shared_out(self.counts, np.zeros(self.d, np.int64), SCALE)
         row, none = self.pairs // self.d, np.int32(self.d)
-        self.next = np.append((self.pairs % self.d).astype(np.int32), none)
+        self.tags = np.arange(self.d + 1, dtype=np.int32)
+        self.tags |= np.append(np.minimum(np.log2(self.tags[:-1] + 1.0).astype(np.int32), 15), np.int32(16)) << 18
+        self.next = self.tags.take(np.append(self.pairs % self.d, none))
         begin, width = shared_out(seen, np.searchsorted(row, row, "left"), ROW)
-        self.begin1, self.width1 = np.append(begin, np.int32(1 << ROW)), np.append(width, np.int32(0))  # last: what no pair foretells
+        self.ends = np.append(begin + width, np.int32(1 << ROW))
+        self.spots = np.append(begin << 16 | width, np.int32(1 << ROW + 16))  # last: what no pair foretells
         known = np.bincount(row, seen, self.d).astype(np.int64)
         missed = self.counts * known.sum() // max(1, int(self.counts.sum()))
-        self.mass = np.append(np.clip(65535 * known // (known + missed // 8 + 1), LOW, HIGH), LOW).astype(np.int32)
-        self.level = np.append(np.minimum(np.log2(known + 1.0).astype(np.int32), 15), np.int32(0))
-        self.bucket = np.append(np.minimum(np.log2(np.arange(self.d) + 1.0).astype(np.int32), 15), np.int32(16))
-        self.guide(row)
+        mass = np.append(np.clip(65535 * known // (known + missed // 8 + 1), LOW, HIGH), LOW)
+        level = np.append(np.minimum(np.log2(known + 1.0).astype(np.int32), 15), 0)
+        self.mass = (mass << 4 | level).astype(np.int32)
+        self.guide(row, begin)
 
-    def guide(self, row: np.ndarray) -> None:
+    def guide(self, row: np.ndarray, begin: np.ndarray) -> None:
         """For each id 1, 2, 4... cells, two for a pair at least, that name the pair at their begin."""
         size = np.bincount(row, minlength=self.d + 1)
         bits = np.minimum(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) + 1, ROW)
@@ -113,8 +117,7 @@ class Start:
         self.cell = np.cumsum(cells) - cells
         owner = np.repeat(np.arange(self.d + 1), cells)
         at = (owner << ROW) + (np.arange(len(owner)) - self.cell[owner] << self.shift[owner].astype(np.int64))
-        self.cells = np.searchsorted((row << ROW) + self.begin1[:-1], at, "right") - 1
-        self.ends = np.append(self.begin1[:-1] + self.width1[:-1], np.int32(1 << ROW))
+        self.cells = np.searchsorted((row << ROW) + begin, at, "right") - 1
 
     def pair_at(self, x1: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """The pairs of the ids x1 that hold these parts of 1 << ROW."""
@@ -142,13 +145,13 @@ class Start:
         number = np.empty(len(found), np.int32)
         number[order] = np.arange(len(found))
         x, d = number[back], len(found)
-        both = x[:-1].astype(np.int64) * d + x[1:]
         if d * d <= DENSE:
+            both = x[:-1] * np.int32(d) + x[1:]
             table = np.bincount(both, minlength=1)
             pair = np.flatnonzero(table >= LEAST_COUNT)
             seen = table[pair]
         else:
-            pair, seen = np.unique(both, return_counts=True)
+            pair, seen = np.unique(x[:-1].astype(np.int64) * d + x[1:], return_counts=True)
             pair, seen = pair[seen >= LEAST_COUNT], seen[seen >= LEAST_COUNT]
         row = pair // d
         by = np.lexsort((pair, -seen, row))
@@ -168,20 +171,22 @@ class Start:
 
     def parts(self) -> list[np.ndarray]:
         row = self.pairs // self.d
-        steps = np.diff(self.next[:-1], prepend=0)
+        after = self.pairs % self.d
+        steps = np.diff(after, prepend=0)
         fresh = np.diff(row, prepend=-1) > 0
-        steps[fresh] = self.next[:-1][fresh]
+        steps[fresh] = after[fresh]
         return [self.symbols, self.counts, np.bincount(row, minlength=self.d), steps, self.ahead[1, :-1]]
 
-    def pair_of(self, x1: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The pairs' places; one beyond the last if order 1 does not know them."""
-        both, none = x1.astype(np.int64) * self.d + x, len(self.pairs)
-        if (self.d + 1) * self.d <= DENSE:
-            table = np.full((self.d + 1) * self.d, none, np.int32)
-            table[self.pairs] = np.arange(none)
-            return table[both]
+    def spots_of(self, x1: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The spots of pairs; the last one if order 1 does not know them."""
+        d, none = self.d, self.spots[-1]
+        if (d + 1) * d <= DENSE:
+            table = np.full((d + 1) * d, none, np.int32)
+            table[self.pairs] = self.spots[:-1]
+            return table[x1 * np.int32(d) + x]
+        both = x1.astype(np.int64) * d + x
         at = np.searchsorted(self.pairs, both)
-        return np.where(np.append(self.pairs, -1)[at] == both, at, none).astype(np.int32)
+        return np.where(np.append(self.pairs, -1)[at] == both, self.spots[at], none)
 
 
 class Model:
@@ -195,45 +200,45 @@ class Model:
         self.start, self.lanes = start, np.int32(lanes)
         self.lane = lane = np.arange(lanes)
         self.slot = lane * SLOTS
-        self.next2 = np.full(lanes * SLOTS, start.d, np.int32)
+        self.next2 = np.full(lanes * SLOTS, start.tags[-1], np.int32)
         self.rate = np.repeat(np.array([LOW, 6000, 14000, 24000, 32000, 40000, 46000, 52000, 56000], np.int32), lanes)
         self.rate0, self.rate1 = (np.full(17 * lanes, r, np.int32) for r in (10000, 60000))
         self.rate0[16 * lanes :] = self.rate1[:lanes] = LOW  # no id, and ids without successors
         self.weight, self.weight1 = np.full(lanes, 49152, np.int32), np.full(lanes, 32768, np.int32)
-        self.x1, self.x2 = (np.full(lanes, start.d, np.int32) for _ in range(2))
+        self.x1, self.x2 = (np.full(lanes, start.tags[-1], np.int32) for _ in range(2))
 
     def predict(self, n: int) -> None:
         x1, lane, start = self.x1[:n], self.lane[:n], self.start
         self.at = ((x1 * np.int32(31153) ^ self.x2[:n] * np.int32(58789)) >> 4 & SLOTS - 1) + self.slot[:n]
         packed = self.next2.take(self.at)
-        self.c, self.k = c, k = packed & NONE, packed >> 24
-        self.i, self.i0 = k * self.lanes + lane, start.bucket.take(c) * self.lanes + lane
+        self.c, self.k = c, k = packed & TAG, packed >> 24
+        self.i, self.i0 = k * self.lanes + lane, (c >> 18) * self.lanes + lane
         self.q, self.q0 = q, q0 = self.rate.take(self.i), self.rate0.take(self.i0)
         share = q0 + ((self.weight[:n] >> 2) * (q - q0 >> 2) >> 12)
         self.a = np.maximum(share >> 6, 1)
-        self.m = m = start.mass.take(x1)
-        self.i1 = start.level.take(x1) * self.lanes + lane
-        self.q1 = q1 = self.rate1.take(self.i1)
+        packed = start.mass.take(x1 & NUMBER)
+        self.m, self.i1 = m, i1 = packed >> 4, (packed & 15) * self.lanes + lane
+        self.q1 = q1 = self.rate1.take(i1)
         share = m + ((self.weight1[:n] >> 2) * (q1 - m >> 2) >> 12)
         self.b = np.maximum(((1 << PARTS) - self.a) * (share >> 6) >> PARTS, 1)
 
-    def interval(self, hit: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of the candidate where it hits, of all that order 0 shares out in lanes `rest`, else of the pairs."""
+    def interval(self, hit: np.ndarray, spot: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of the candidate where it hits, of all that order 0 shares out in lanes `rest`, else of the spots."""
         first = self.a << ROW
-        width = np.where(hit, first, self.start.width1.take(pair) * self.b)
+        width = np.where(hit, first, (spot & WIDTH) * self.b)
         width[rest] = (1 << PARTS) - self.a[rest] - self.b[rest] << ROW
-        return np.where(hit, 0, first + self.start.begin1.take(pair) * self.b), width
+        return np.where(hit, 0, first + (spot >> 16) * self.b), width
 
     def found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, hits of the candidate, pairs, lanes of order 0, whose ids are still to be found) by values in the intervals."""
+        """(tags, hits of the candidate, spots, lanes of order 0, whose tags are still to be found) by values in the intervals."""
         a, b, start = self.a, self.b, self.start
         part = value >> ROW
         hit, rest = part < a, np.flatnonzero(part >= a + b)
         inside = ((value - (a << ROW)) / b).astype(np.int32)  # exact: numbers under 1 << 24
         np.minimum(np.maximum(inside, 0, out=inside), (1 << ROW) - 1, out=inside)
-        pair = start.pair_at(self.x1[: len(a)], inside)
+        pair = start.pair_at(self.x1[: len(a)] & NUMBER, inside)
         pair[rest] = len(start.pairs)
-        return np.where(hit, self.c, start.next.take(pair)), hit, pair, rest
+        return np.where(hit, self.c, start.next.take(pair)), hit, start.spots.take(pair), rest
 
     def update(self, x: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
         n, k, q, q0, q1 = len(x), self.k, self.q, self.q0, self.q1
@@ -337,7 +342,7 @@ class Reader:
 
 
 def block_size(n_ids: int) -> int:
-    return int(np.clip(1 << max(0, (n_ids // LANES).bit_length()), *BLOCKS))
+    return int(np.clip(1 << round(math.log2(max(1, n_ids / LANES))), *BLOCKS))
 
 
 def turns(lanes: int) -> Iterator[tuple[int, int]]:
@@ -350,24 +355,27 @@ def turns(lanes: int) -> Iterator[tuple[int, int]]:
 def encode_blocks(x: np.ndarray, start: Start, block: int) -> list[bytes]:
     """The bytes of the blocks of a segment's numbers."""
     lanes, out = -(-len(x) // block), []
-    before = np.concatenate([[start.d], x[:-1]])
+    before = np.empty_like(x)
+    before[1:] = x[:-1]
     before[::block] = start.d
-    pairs = start.pair_of(before, x)
+    spots = start.spots_of(before, x)
+    del before
     for first, last in turns(lanes):
         size, n_lanes = min(len(x), last * block) - first * block, last - first
-        columns = np.zeros((2, n_lanes * block), np.int32)
-        columns[:, :size] = x[first * block : first * block + size], pairs[first * block : first * block + size]
-        columns = np.ascontiguousarray(columns.reshape(2, n_lanes, block).transpose(0, 2, 1))
+        tags, at = (np.zeros(n_lanes * block, np.int32) for _ in range(2))
+        tags[:size], at[:size] = start.tags.take(x[first * block : first * block + size]), spots[first * block : first * block + size]
+        tags, at = (np.ascontiguousarray(p.reshape(n_lanes, block).T) for p in (tags, at))
         model, coder = Model(n_lanes, start), Writer(n_lanes, 3 * block + 16)
         for t in range(min(block, size)):
             n = n_lanes if (n_lanes - 1) * block + t < size else n_lanes - 1
-            now, pair = columns[0, t, :n], columns[1, t, :n]
+            now, spot = tags[t, :n], at[t, :n]
             model.predict(n)
             hit = model.c == now
-            rest = np.flatnonzero((pair == len(start.pairs)) & ~hit)
-            coder.narrow(n, *model.interval(hit, pair, rest))
+            rest = np.flatnonzero((spot == start.spots[-1]) & ~hit)
+            coder.narrow(n, *model.interval(hit, spot, rest))
             if len(rest):
-                coder.narrow_some(rest, start.begin0.take(now[rest]), start.width0.take(now[rest]))
+                some = now.take(rest) & NUMBER
+                coder.narrow_some(rest, start.begin0.take(some), start.width0.take(some))
             model.update(now, hit, rest)
         out += coder.finish()
     return out
@@ -383,13 +391,15 @@ def decode_blocks(blocks: list[bytes], n_ids: int, start: Start, block: int) ->
         for t in range(min(block, size)):
             n = n_lanes if (n_lanes - 1) * block + t < size else n_lanes - 1
             model.predict(n)
-            x, hit, pair, rest = model.found(coder.value(n))
-            coder.narrow(n, *model.interval(hit, pair, rest))
+            x, hit, spot, rest = model.found(coder.value(n))
+            coder.narrow(n, *model.interval(hit, spot, rest))
             if len(rest):
-                x[rest] = some = start.begin0.searchsorted(coder.value_some(rest), "right") - 1
+                some = start.begin0.searchsorted(coder.value_some(rest), "right") - 1
+                x[rest] = start.tags.take(some)
                 coder.narrow_some(rest, start.begin0.take(some), start.width0.take(some))
             model.update(x, hit, rest)
             columns[t, :n] = x
+        columns &= NUMBER
         out.append(np.ascontiguousarray(columns.T).reshape(-1)[:size])
     return np.concatenate(out)
 
@@ -457,13 +467,23 @@ STOPS = np.zeros(256, bool)
 STOPS[list(b".,;:!?")] = True
 
 
-#: What the short way of `WordIds` takes for granted, and lower-case letters that normalising leaves alone.
+#: What the short way of `WordIds` takes for granted, and which words go it.
 SHORT = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
     "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"},
 }
-LETTERS = re.compile("[a-z" + "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c == c.lower() == unicodedata.normalize("NFC", c)) + "]+")
+SMALL, TRAIL = np.zeros(256, bool), np.zeros(256, bool)
+SMALL[97:123], TRAIL[0x9F:0xC0], TRAIL[0xB7] = True, True, False  # a to z; after 0xC3: from sharp s to y with diaeresis, no division sign
+
+
+def of_letters(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Which words hold nothing but small letters of a to z and U+00DF to U+00FF."""
+    good = SMALL[data]
+    pair = np.flatnonzero((data[:-1] == 0xC3) & TRAIL[data[1:]])
+    good[pair] = good[pair + 1] = True
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    return bad[borders[1:]] == bad[borders[:-1]]
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -479,6 +499,24 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]), first
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizers_of(definition: str):  # noqa: ANN201
+    """(the tokenizer, that of the short way or None, which of its ids end a word), kept for a worker's next tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    parts, whole = json.loads(definition), Tokenizer.from_str(definition)
+    levels = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    same = parts["normalizer"] == SHORT["normalizer"] and all(parts["model"].get(k) == v for k, v in SHORT["model"].items())
+    if not (same and len(levels) == 2 and levels[0] == SHORT["split"] and levels[1]["type"] == "ByteLevel" and not levels[1]["add_prefix_space"] and not levels[1]["use_regex"]):
+        return whole, None, None
+    parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, levels[1]]}}
+    vocabulary = parts["model"]["vocab"]
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+    return whole, Tokenizer.from_str(json.dumps(parts)), closes
+
+
 class WordIds:
     """Ids of words by the tokenizers library, remembered.
 
@@ -487,22 +525,9 @@ class WordIds:
     """
 
     def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer, self.letters, self.closes = tokenizers_of(definition)
         self.glue = self.tokenizer.token_to_id(GLUE)
         self.known = Remembered()
-        self.letters = None
-        parts = json.loads(definition)
-        levels = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
-        same = parts["normalizer"] == SHORT["normalizer"] and all(parts["model"].get(k) == v for k, v in SHORT["model"].items())
-        if same and len(levels) == 2 and levels[0] == SHORT["split"] and levels[1]["type"] == "ByteLevel" and not levels[1]["add_prefix_space"] and not levels[1]["use_regex"]:
-            parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, levels[1]]}}
-            self.letters = Tokenizer.from_str(json.dumps(parts))
-            vocabulary = self.letters.get_vocab()
-            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the documents of a buffer, each with END."""
@@ -513,15 +538,17 @@ class WordIds:
         words, place = coded.dictionary, coded.indices.to_numpy()
         raw, borders = bw.text_buffer(words)
         keys = bw.range_hash(bw.prefix_hash(raw), borders[:-1], borders[1:])
+        order = np.argsort(keys)  # sorted keys are found faster
+        keys, rank = keys[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         if len(self.known.keys) > self.known.limit:
             self.known.clear()
         new = self.known.missing(keys)
         if new.any():
-            fresh, at = np.unique(keys[new], return_index=True)
-            which = np.flatnonzero(new)[at]
-            text = raw.tobytes()
-            self.known.add(fresh, *self.look_up([text[a:b].decode() for a, b in zip(borders[which].tolist(), borders[which + 1].tolist(), strict=True)]))
+            which = order[new]
+            self.known.add(keys[new], *self.look_up(raw, borders[which], borders[which + 1]))
         begin, size = self.known.look_up(keys)
+        place = rank[place]
         sizes = size[place]
         before = np.concatenate([[0], np.cumsum(sizes)])
         at = before[first] + np.arange(len(offsets))
@@ -531,38 +558,45 @@ class WordIds:
         out[inner] = self.known.ids[ragged(begin[place], sizes)]
         return out, at
 
-    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of words: those of letters by the short way, others joined by the special token, or alone where they hold it."""
-        kinds: tuple[list[int], ...] = ([], [], [])
-        for k, w in enumerate(words):
-            kinds[2 if GLUE in w else 0 if self.letters and LETTERS.fullmatch(w) else 1].append(k)
-        short, plain, odd = kinds
+        n, sizes = len(starts), ends - starts + 1
+        borders = np.concatenate([[0], np.cumsum(sizes)])
+        text = np.append(data, np.uint8(32))[ragged(starts, sizes)]
+        text[borders[1:] - 1] = 32
+        short = of_letters(np.where(text == 32, 97, text).astype(np.uint8), borders) if self.letters else np.zeros(n, bool)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for group, ids in self.batches(self.letters, " ", words, short):
-            closes = self.closes[ids]
-            if closes.sum() != len(group):  # a byte is not in the vocabulary
-                plain += group
-                continue
-            parts.append((np.array(group)[np.cumsum(closes) - closes], ids))
-        for group, ids in self.batches(self.tokenizer, GLUE, words, plain):
+        which = np.flatnonzero(short)
+        if len(which):
+            body, ends = text[np.repeat(short, sizes)].tobytes(), np.cumsum(sizes[which])
+            groups = [which[k : k + 256] for k in range(0, len(which), 256)]
+            edges = [0, *ends[[min(k + 255, len(which) - 1) for k in range(0, len(which), 256)]].tolist()]
+            for group, ids in self.run(self.letters, groups, [body[a : b - 1].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)]):
+                closes = self.closes[ids]
+                if closes.sum() == len(group):
+                    parts.append((group[np.cumsum(closes) - closes], ids))
+                else:  # a byte is not in the vocabulary
+                    short[group] = False
+        whole, edges = text.tobytes(), borders.tolist()
+        words = {k: whole[edges[k] : edges[k + 1] - 1].decode() for k in np.flatnonzero(~short).tolist()}
+        plain, odd = [k for k, w in words.items() if GLUE not in w], [k for k, w in words.items() if GLUE in w]
+        groups = [np.array(plain[k : k + 256]) for k in range(0, len(plain), 256)]
+        for group, ids in self.run(self.tokenizer, groups, [GLUE.join(words[k] for k in g.tolist()) for g in groups]):
             keep = ids != self.glue
-            parts.append((np.array(group)[np.cumsum(~keep)[keep]], ids[keep]))
-        for group, ids in self.batches(self.tokenizer, "", words, odd, 1):
-            parts.append((np.full(len(ids), group[0]), ids))
+            parts.append((group[np.cumsum(~keep)[keep]], ids[keep]))
+        for k, ids in self.run(self.tokenizer, odd, [words[k] for k in odd]):
+            parts.append((np.full(len(ids), k), ids))
         if not parts:
-            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
         owner, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(owner, kind="stable")
-        sizes = bw.counts_of(owner, len(words))
-        return ids[order], np.concatenate([[0], np.cumsum(sizes)])
+        return ids[order], np.concatenate([[0], np.cumsum(bw.counts_of(owner, n))])
 
     @staticmethod
-    def batches(tokenizer, glue: str, words: list[str], which: list[int], size: int = 256) -> Iterator[tuple[list[int], np.ndarray]]:  # noqa: ANN001
-        """Groups of words, each with its ids."""
-        if which:
-            groups = [which[k : k + size] for k in range(0, len(which), size)]
-            run = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-            for group, coded in zip(groups, run([glue.join(words[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+    def run(tokenizer, groups: list, texts: list[str]) -> Iterator[tuple]:  # noqa: ANN001
+        if texts:
+            encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+            for group, coded in zip(groups, encode(texts, add_special_tokens=False), strict=True):
                 yield group, np.array(coded.ids, np.int32)
 
 

@@ -124,4 +124,5 @@ def test_words_of_letters_go_the_short_way_and_get_the_same_ids():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
     long_way = words.tokenizer
     words.tokenizer = None
-    assert words.look_up(["new", "letters", "éñß"])[0].tolist() == long_way.encode("new letters éñß", add_special_tokens=False).ids
+    new = np.frombuffer("newletterséñß".encode(), np.uint8)
+    assert words.look_up(new, np.array([0, 3, 10]), np.array([3, 10, len(new)]))[0].tolist() == long_way.encode("new letters éñß", add_special_tokens=False).ids
