@@ -227,7 +227,7 @@ class Model:
         first = self.a << ROW
         width = np.where(hit, first, (spot & WIDTH) * self.b)
         width[rest] = (1 << PARTS) - self.a[rest] - self.b[rest] << ROW
-        return np.where(hit, 0, first + (spot >> 16) * self.b), width
+        return (first + (spot >> 16) * self.b) * ~hit, width
 
     def found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tags, hits of the candidate, spots, lanes of order 0, whose tags are still to be found) by values in the intervals."""
@@ -242,7 +242,7 @@ class Model:
 
     def update(self, x: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
         n, k, q, q0, q1 = len(x), self.k, self.q, self.q0, self.q1
-        goal = np.where(hit, HIGH2, LOW)
+        goal = hit * (HIGH2 - LOW) + LOW
         off, off0 = goal - q, goal - q0
         self.rate[self.i] = q + (off >> 5)
         self.rate0[self.i0] = q0 + (off0 >> 6)
@@ -461,12 +461,10 @@ def read_segment(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if gone else int(d) for d, gone in zip(head[0], head[1], strict=True)], head[2].astype(np.int64), ids
 
 
-ALNUM = np.zeros(256, bool)
-ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-STOPS = np.zeros(256, bool)
-STOPS[list(b".,;:!?")] = True
-
-
+#: Bits of a byte: 1 outside white space, 2 an ASCII letter or digit, 4 a stop.
+KIND = np.where(bw.IS_SPACE, 0, 1).astype(np.uint8)
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] |= 2
+KIND[list(b".,;:!?")] |= 4
 #: What the short way of `WordIds` takes for granted, and which words go it.
 SHORT = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -488,9 +486,10 @@ def of_letters(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(words, each document's first), cut between an ASCII letter or digit and a stop."""
-    solid = ~bw.IS_SPACE[data]
+    kind = KIND.take(data)
+    solid = (kind & 1).view(bool)
     opens = solid.copy()
-    opens[1:] &= ~solid[:-1] | ALNUM[data[:-1]] & STOPS[data[1:]]
+    opens[1:] &= ~solid[:-1] | (kind[:-1] << 1 & kind[1:] & 4).astype(bool)
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     opens[inner] = solid[inner]
     first = np.searchsorted(np.flatnonzero(opens), offsets)
@@ -532,7 +531,7 @@ class WordIds:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the documents of a buffer, each with END."""
         if not ((data[:-1] == 60) & (data[1:] == 124)).any():  # the library lower-cases; its special tokens, <|...|>, are matched before that
-            data = bw.LOWER[data]
+            data = bw.LOWER.take(data)
         units, first = units_of(data, offsets)
         coded = units.dictionary_encode()
         words, place = coded.dictionary, coded.indices.to_numpy()
